@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +21,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_docs(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = rf"""
@@ -40,5 +58,57 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL}
+OP8_SQL = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)
+),
+twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
+rep AS (
+  SELECT doc_id, count(DISTINCT j) AS n
+  FROM win JOIN twice USING (doc_id, k), unnest(range(i, i + 8)) AS u(j) GROUP BY doc_id
+),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+m AS (
+  SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
+),
+f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         10 * n_symbols > word_chars AS symbols, 100 * n_dup_lines > 30 * n_lines AS dups FROM m
+),
+h AS (
+  SELECT source, count(*) AS n, count_if(base_failed OR symbols OR dups) AS a, count_if(symbols) AS s, count_if(dups) AS d
+  FROM f GROUP BY source
+),
+p AS (SELECT sum(n) AS tn, sum(a) / sum(n) AS ma, sum(s) / sum(n) AS ms, sum(d) / sum(n) AS md FROM h),
+v AS (
+  SELECT sum(n * pow(a / n - ma, 2)) / any_value(tn) AS va, sum(n * pow(s / n - ms, 2)) / any_value(tn) AS vs,
+         sum(n * pow(d / n - md, 2)) / any_value(tn) AS vd FROM h, p
+),
+g AS (
+  SELECT ma, ms, md,
+         CASE WHEN va <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, ma * (1 - ma) / va - 1)) END AS ka,
+         CASE WHEN vs <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, ms * (1 - ms) / vs - 1)) END AS ks,
+         CASE WHEN vd <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, md * (1 - md) / vd - 1)) END AS kd FROM p, v
+),
+r AS (SELECT source, (a + ma * ka) / (n + ka) AS ra, (s + ms * ks) / (n + ks) AS rs, (d + md * kd) / (n + kd) AS rd FROM h, g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR ra >= 0.5 OR (symbols AND rs >= 0.02) OR (dups AND rd >= 0.02)) AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+"""
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op8_quality_rules": OP8_SQL}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import edited_fingerprints
 from .jaccard_join import ngram_jaccard_join
 from .packing import pack
 from .quality_rules import quality_rules
@@ -26,6 +27,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_docs(spark, sf_dir), shingle=3, percent=90)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_docs(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -131,6 +136,7 @@ FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_fingerprints": op3_fingerprints,
     "op5_token_counts": op5_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,

@@ -85,7 +85,7 @@ def _counts(path: str, table, limit: int):
                     if unknown := cache.missing(chunks):
                         cache.learn(_lengths(path, unknown))
                     try:
-                        out.append(sum(map(cache.__getitem__, chunks)))
+                        out.append(sum(map(cache.now.__getitem__, chunks)))
                     except KeyError:  # more distinct pre-tokens in a text than the cache holds
                         some = _lengths(path, list(set(chunks)))
                         out.append(sum(map(some.__getitem__, chunks)))

@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id
+from .chat_format import rotate_perspectives
 from .fingerprints import edited_fingerprints
 from .jaccard_join import ngram_jaccard_join
 from .packing import pack
 from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
@@ -35,6 +38,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(_docs(spark, sf_dir), max_labelled=2000)
+    out = language_id.identify_languages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
+    return out.select("page_id", "lang", F.round("confidence", 9).alias("confidence"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(_docs(spark, sf_dir))
+    spans = F.transform("findings", lambda f: F.concat_ws(":", f["word_no"].cast("string"), F.sha2(f["value"], 256), f["is_secret"].cast("string")))
+    return out.select("doc_id", "n_candidates", "n_secrets", F.array_join(spans, " ").alias("findings"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -45,6 +60,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.select("conv_id", "perspective", "block", "n_turns", "rendered", mask.alias("mask"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = rf"""
@@ -133,12 +154,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 
+OP10_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
+p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+s AS (
+  SELECT t.conv_id, perspective, CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS block, turn, who, said,
+         '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = perspective THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
+         said || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+),
+o AS (
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING) - 1 AS e
+  FROM s
+)
+SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, who, said) AS rendered,
+       coalesce(string_agg(CASE WHEN who = perspective THEN concat(CAST(e - length(body) AS BIGINT), '-', CAST(e AS BIGINT)) END, ',' ORDER BY turn, who, said), '') AS mask
+FROM o GROUP BY conv_id, perspective, block
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
+    "op7_secret_scan": op7_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
+    "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op8_quality_rules": OP8_SQL, "op10_chat_format": OP10_SQL}

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import bloom_position, cut, input_bytes, power_of_two
+from ._filter import MAYBE, may_be_in
+from ._io import cut, input_bytes, power_of_two
 
 LANES = 4
 _SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
@@ -51,16 +52,6 @@ def likeness(a: Column, b: Column) -> Column:
     return (a == b).cast("double")
 
 
-def _among(df: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``: a bitmap of at most bits / 8 bytes is broadcast."""
-    at = lambda c: bloom_position(F.col(c), bits)
-    maps = keys.select(at(key).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    placed = df.withColumn("at", at(key)).withColumn("bit", F.bitmap_bit_position("at")).withColumn("bucket", F.bitmap_bucket_number("at"))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1
-    return placed.join(F.broadcast(maps), "bucket").withColumn("byte", byte).where(hit).drop("bucket", "bits", "at", "bit", "byte")
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES, filter_bits: int = 1 << 26) -> DataFrame:
     """(fingerprint, canonical or null, group_id, size) of each group of two or more rows with equal canonical bytes.
 
@@ -72,7 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     canon = rows.select("id", canonical(F.col("text")).alias("canon"))
     marked = canon.select("id", "canon", digest(F.col("canon"), lanes).alias("fingerprint"))
     twice = cut(marked.groupBy("fingerprint").agg(F.count("*").alias("size")).where("size > 1").select("fingerprint"), "twice")
-    some = _among(marked, twice, "fingerprint", bits)
+    some = may_be_in(marked, twice, "fingerprint", bits).where(MAYBE)
     groups = some.groupBy("fingerprint", "canon").agg(F.min("id").alias("group_id"), F.count("*").alias("size"))
     forms = Window.partitionBy("fingerprint")
     told = groups.withColumn("forms", F.count("*").over(forms)).where("size > 1 or forms > 1")

@@ -1,12 +1,67 @@
-"""The stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""The stages of the corpus pipeline; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Stages decide on keys and narrow tables; texts are shuffled only where a row may be dropped or changed.  Rows are told
+apart by a hash of id and text, so repeated ids, or rows without one, don't share a verdict.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._filter import updated, without
+from ._io import cut, input_bytes, power_of_two
+from .jaccard_join import ngram_jaccard_join
+from .packing import pack
+from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
+from .substring_dedup import substring_dedup
+
+MAX_BITS = 1 << 26
+
+
+def _bits(docs: DataFrame) -> int:
+    return power_of_two(input_bytes(docs) / 64, 1 << 15, MAX_BITS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+
+
+def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars told anew."""
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the quality rules reject go."""
+    keyed = _keyed(docs)
+    rejected = cut(quality_rules(keyed, id_col="_row").where("not kept").select("_row").distinct(), "rejected")
+    return without(keyed, rejected, "_row", _bits(docs)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the document of the smallest id stays; rows without an id stay."""
+    groups = ngram_jaccard_join(docs, shingle=5, percent=80)
+    copies = cut(groups.where("component_id != doc_id").select("doc_id").distinct(), "copies")
+    return without(docs, copies, "doc_id", _bits(docs)).select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a smaller document has too are cut; a text that loses nothing keeps its white space."""
+    found = substring_dedup(docs).where("n_removed > 0").select(F.col("row_key").alias("_row"), F.col("kept_text").alias("text"))
+    changes = cut(found.dropDuplicates(["_row"]), "changes")  # equal rows lose the same words
+    out = updated(_keyed(docs), changes, "_row", ["text"], _bits(docs))
+    return _like(docs, out)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark."""
+    out = scan_secrets(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return _like(docs, out.withColumnRenamed("redacted", "text"))
 
 
-near_duplicates = substrings = secrets = packing = quality
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)

@@ -131,9 +131,9 @@ def _candidates(text: Column, path: Column) -> Column:
 
 
 def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5, max_labelled: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labelled: DataFrame | None = None, threshold: float = 0.5, max_labelled: int = 20_000, keep: list[str] | None = None
 ) -> DataFrame:
-    """A row for each input row: ``id_col``, findings, n_candidates, n_secrets and redacted.
+    """A row for each input row: ``id_col``, findings, n_candidates, n_secrets, redacted, and the columns in ``keep``.
 
     ``findings`` lists every candidate: word_no (its word's place in the text), value, score and is_secret (score of
     ``threshold`` or more).  ``redacted`` is the text with each secret's value replaced by [SECRET] wherever it occurs.
@@ -143,18 +143,19 @@ def scan_secrets(
     """
     trees = train(labelled if labelled is not None else labelled_findings(docs.sparkSession), max_labelled)
     text, path = F.col(text_col).cast("string"), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path"))
+    kept = F.struct(F.lit(0).alias("_"), *(keep or []))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path"), kept.alias("kept"))
     none = F.array().cast("array<struct<value:string,before:string,after:string,word_no:int>>")
     rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9]"), _candidates(F.col("text"), F.col("path"))).otherwise(none))
     described = F.transform(
         "found", lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), *(v.alias(k) for k, v in features(c["value"], c["before"], F.col("path")).items()))
     )
-    rows = rows.select("id", "text", described.alias("found"))
+    rows = rows.select("id", "text", "kept", described.alias("found"))
     score = forest.to_sql(trees, [f"c.{k}" for k in FEATURES])
     scored = F.expr(f"transform(found, c -> struct(c.word_no as word_no, c.value as value, {score} as score))")
-    rows = rows.select("id", "text", scored.alias("found"))
+    rows = rows.select("id", "text", "kept", scored.alias("found"))
     findings = F.transform("found", lambda c: F.struct(c["word_no"], c["value"], F.round(c["score"], 6).alias("score"), (c["score"] >= threshold).alias("is_secret")))
-    rows = rows.select("id", "text", findings.alias("findings"))
+    rows = rows.select("id", "text", "kept", findings.alias("findings"))
     secrets = F.transform(F.filter("findings", lambda c: c["is_secret"]), lambda c: c["value"])
     # longer values first: one may be part of another
     ordered = F.array_sort(F.array_distinct(secrets), lambda a, b: F.char_length(b) - F.char_length(a))
@@ -165,4 +166,5 @@ def scan_secrets(
         F.size("findings").cast("long").alias("n_candidates"),
         F.size(secrets).cast("long").alias("n_secrets"),
         F.when(F.size(secrets) > 0, redacted).otherwise(F.col("text")).alias("redacted"),
+        *(F.col(f"kept.{c}") for c in keep or []),
     )

@@ -29,6 +29,7 @@ from ._text import Words, blocks, signed
 SHINGLE = 7
 CHUNK = 1 << 16
 FLUSH = 1 << 22
+KEY_MASK = 0x7FFFFFFF
 _CHUNKS = "chunk int, once binary, twice binary"
 _WINDOWS = "h1 long, h2 int, id long, at long"
 
@@ -120,7 +121,7 @@ def _repeated(width: int, window: int, shingle: int, sketch):
 
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = batch.column("key").to_numpy(zero_copy_only=False) & KEY_MASK
             for i, _, words in blocks(batch.column("text")):
                 runs, anchors = _anchors(words, window, shingle)
                 a, b = _positions(anchors, width)
@@ -160,7 +161,7 @@ def _finish(window: int, bits: int | None, sketch):
         edge = np.zeros(n + 1, np.int32)
         if marks is not None:
             m = np.asarray(marks, np.int64)
-            at = np.unique(m[(m >> 32) == key] & 0xFFFFFFFF)
+            at = np.unique(m[(m >> 32) == (key & KEY_MASK)] & 0xFFFFFFFF)
             np.add.at(edge, at, 1)
             np.add.at(edge, np.minimum(at + window, n), -1)
         return np.cumsum(edge)[:n] > 0
@@ -199,7 +200,7 @@ _STATE_DDL = "id long, key long, n_words long, n_removed long, kept string, text
 
 
 def repeated_windows(docs: DataFrame, window: int = 13, shingle: int = SHINGLE, max_counters: int = 1 << 27) -> DataFrame:
-    """(id, at): windows of ``docs`` (id, key, text) that a smaller id has too; ``at`` is key << 32 | first word."""
+    """(id, at): windows of ``docs`` (id, key, text) that a smaller id has too; ``at`` is 31 bits of key, 32 of the first word."""
     spark = docs.sparkSession.sparkContext
     shingle = min(shingle, window)
     width = power_of_two(input_bytes(docs) / 4, 1 << 16, max_counters)
@@ -214,22 +215,22 @@ def substring_dedup(
 ) -> DataFrame:
     """Remove each word covered by a ``window``-word passage that also starts in a document with a smaller id.
 
-    Returns a row for each input row: ``id_col``, n_words, n_removed (long) and kept_text (the words that stay, joined
-    by one space).  Words are runs of anything but space and 0x09-0x0D; passages are judged on the input.
+    Returns a row for each input row: ``id_col``, n_words, n_removed (long), kept_text (the words that stay, joined by
+    one space) and row_key (xxhash64 of id and text, to find the row again).  Words are runs of anything but space and 0x09-0x0D; passages are judged on the input.
 
     Defined cases: a null or empty text has no words; a text of fewer words than ``window`` stays; a row without an id
     stays whole and is nobody's source; rows with one id are judged each by its own text and do not remove each
     other's passages; equal rows get equal results; an empty table gives an empty result.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
     sc = docs.sparkSession.sparkContext
     marks = cut(repeated_windows(rows, window, max_counters=max_counters).groupBy("id").agg(F.collect_list("at").alias("marks")), "marks")
     bits = power_of_two(input_bytes(docs) / 64, 1 << 15, filter_bits)
     held = sc.broadcast(np.frombuffer(bytes(bloom(marks, F.col("id"), bits)), np.uint8))
     state = rows.withColumn("bit", bloom_position(F.coalesce("id", F.lit(-1)), bits)).mapInArrow(_finish(window, bits, held), _STATE_DDL)
     settled = state.join(marks, "id", "left").mapInArrow(_settle(window), _STATE_DDL)
-    return settled.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"))
+    return settled.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"), F.col("key").alias("row_key"))
 
 
 def _settle(window: int):

@@ -73,7 +73,7 @@ def symbol_positions(texts: DataFrame, symbol: str) -> DataFrame:
     rows = _tiled(texts, 1)
     inner = F.substring("tile", F.col("lead") + 1, F.col("size"))
     hits = F.filter(F.sequence(F.lit(1), F.col("size")), lambda i: F.substring(inner, i, F.lit(1)) == symbol)
-    found = rows.select("chrom", (F.col("at") + F.explode(hits)).cast("long").alias("pos"))
+    found = rows.select("chrom", "at", F.explode(hits).alias("i")).select("chrom", (F.col("at") + F.col("i")).cast("long").alias("pos"))
     return found.withColumn("j", F.row_number().over(Window.partitionBy("chrom").orderBy("pos")).cast("long")).select("chrom", "j", "pos")
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sites import TILE, tiles
+from .sites import tiles
+
+
+#: A substring is found by walking its tile, so tiles are short here.
+TILE = 512
 
 
 def _tiled(texts: DataFrame, context: int) -> DataFrame:

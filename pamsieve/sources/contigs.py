@@ -115,7 +115,7 @@ def read_genome(spark: SparkSession, path: str) -> DataFrame:
 
 #: Fixed rule of the derived genome: the alphabet's letters become bases in turn, everything else goes.
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_BASES = ("ACGT" * 13)[:52]
+_BASES = ("ACGT" * 7)[:26] * 2
 
 
 def dna_of(text: Column, keep_digits_as: str | None = None) -> Column:

@@ -88,27 +88,29 @@ def _bucket(docs: DataFrame, n: int) -> Column:
     return F.coalesce(place(0, max(1, len(points) - 1)), F.lit(-1)).cast("long")
 
 
-def with_next(docs: DataFrame, columns: list[str], size: int) -> DataFrame:
-    """Each row of ``docs`` (id, text, ...) and ``next_<column>`` of the row after it by descending id.
+def with_next(docs: DataFrame, enrich, columns: list[str], size: int) -> DataFrame:
+    """Each row of ``enrich(docs)`` and ``next_<column>`` of the row after it by descending id; ``docs`` is (id, text).
 
     The last row's next is the first.  Nulls come last; rows of one id are ordered by text.  Rows are dealt out by
-    ranges of ids, of about BUCKET_BYTES each, and a range's last row takes the first of the next range.
+    ranges of ids, of about BUCKET_BYTES each: the only shuffle of texts.  A range's last row takes the first of the
+    next range; those few firsts are found by id alone and read again.
     """
-    placed = docs.withColumn("bucket", _bucket(docs, max(1, size // BUCKET_BYTES)))
+    bucket = _bucket(docs, max(1, size // BUCKET_BYTES))
     order = [F.col("id").desc_nulls_last(), F.col("text").desc()]
     own = Window.partitionBy("bucket").orderBy(*order)
     packed = F.struct(*(F.col(c) for c in columns))
-    rows = placed.withColumn("next", F.lead(packed).over(own)).withColumn("rank", F.row_number().over(own))
-    # the first row of each range: its largest id, and of equal ids the largest text
-    heads = placed.groupBy("bucket").agg(F.max("id").alias("top_id"))
-    firsts = placed.join(heads, "bucket").where(F.col("id").eqNullSafe(F.col("top_id"))).groupBy("bucket").agg(F.max(F.struct("text", *(F.col(c).alias(f"_{c}") for c in columns))).alias("head"))
-    ring = heads.select("bucket").distinct()
+    rows = enrich(docs).withColumn("bucket", bucket).withColumn("next", F.lead(packed).over(own))
+    heads = cut(docs.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("id")), "heads")
+    some = may_be_in(docs.withColumn("known", F.coalesce("id", F.lit(-1))), heads.select(F.coalesce("id", F.lit(-1)).alias("known")), "known", 1 << 20)
+    some = some.where(MAYBE).drop(MAYBE, "known")
+    firsts = some.join(heads, some["id"].eqNullSafe(heads["id"])).select("bucket", "text").groupBy("bucket").agg(F.max("text").alias("text"))
     down = Window.orderBy(F.col("bucket").desc())  # over the ranges, not the rows
-    ring = ring.withColumn("after", F.lead("bucket").over(down)).withColumn("top", F.max("bucket").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ring = heads.select("bucket").withColumn("after", F.lead("bucket").over(down)).withColumn("top", F.max("bucket").over(whole))
     ring = ring.select(F.col("bucket").alias("from"), F.coalesce("after", "top").alias("bucket"))
-    edges = ring.join(firsts, "bucket").select(F.col("from").alias("bucket"), "head")
+    edges = cut(ring.join(enrich(firsts), "bucket").select(F.col("from").alias("bucket"), packed.alias("head")), "edges")
     joined = rows.join(edges, "bucket", "left")
-    return joined.select(*docs.columns, *(F.coalesce(F.col(f"next.{c}"), F.col(f"head._{c}")).alias(f"next_{c}") for c in columns))
+    return joined.select("id", "text", *(c for c in columns if c != "text"), *(F.coalesce(F.col(f"next.{c}"), F.col(f"head.{c}")).alias(f"next_{c}") for c in columns))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,10 +121,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     size = input_bytes(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("canon", canonical(F.col("text"))).select("id", "text", digest(F.col("canon")).alias("fingerprint"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon"))).drop("canon")
+
     groups = exact_groups(docs, id_col, text_col)
     n, cutoff = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    pairs = with_next(rows, ["text", "fingerprint"], size)
+    pairs = with_next(rows, marked, ["text", "fingerprint"], size)
     edited = pairs.select("id", "text", n.cast("long").alias("n_chars"), "fingerprint", F.col("next_fingerprint").alias("following"), F.concat(F.substring("text", F.lit(1), n - cutoff), F.substring("next_text", F.lit(1), cutoff)).alias("edited"))
     edited = edited.withColumn("canon", canonical(F.col("edited")))
     clashing = groups.where("canonical is not null").select("fingerprint").distinct()

@@ -10,6 +10,7 @@ from . import language_id
 from .chat_format import rotate_perspectives
 from .fingerprints import edited_fingerprints
 from .jaccard_join import ngram_jaccard_join
+from .lattice_sampling import sample_encodings
 from .packing import pack
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
@@ -34,6 +35,14 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_docs(spark, sf_dir))
 
 
+def op4_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sample_encodings(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return out.select(
+        "doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.round("log_prob", 6).alias("log_prob"), F.round("inclusion", 9).alias("inclusion"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -176,6 +185,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
+    "op4_lattice_sampling": op4_lattice_sampling,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_secret_scan": op7_secret_scan,

@@ -7,13 +7,14 @@ however large a batch is; one text is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +44,7 @@ def _power(base: int, n: int) -> np.ndarray:
         steps = np.full(size, np.uint64(base))
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 4 * BLOCK:  # a very long text's powers aren't kept
+        if size <= 16 * BLOCK:  # a very long text's powers aren't kept
             _powers[base] = have
     return have[:n]
 
@@ -137,5 +138,19 @@ def blocks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Wo
         i = j
 
 
+def task(run: Callable) -> Callable:
+    """Hand memory back to the system when a task is over: workers live on, and executors have several."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

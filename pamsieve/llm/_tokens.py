@@ -78,12 +78,12 @@ class Ids:
     """The ids of whole texts as little-endian unsigned 32-bit bytes, without added special tokens."""
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path)
+        self.path = path
         if ("ranked", path) not in _loaded:
             _loaded["ranked", path] = _ranked(path)
         self.ranked = _loaded["ranked", path]
 
     def __call__(self, text: str) -> bytes:
         if self.ranked is None or _BEYOND.search(text):
-            return np.array(self.encode.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._text import task
 from ._tokens import Ids
 
 _PIECE = "id long, start long, length long, {payload}, doc_tokens long, sequence_id long, offset long, leftover boolean"
@@ -111,7 +112,7 @@ def _pack(path: str, capacity: int, places: int, end_id: int | None, ids: bool):
             put(window, pieces, True)
         yield out.batch()
 
-    return run
+    return task(run)
 
 
 def _repack(capacity: int, places: int, ids: bool):
@@ -134,7 +135,7 @@ def _repack(capacity: int, places: int, ids: bool):
             put(window, pieces)
         yield out.batch()
 
-    return run
+    return task(run)
 
 
 def pack(

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import task
 from ._tokens import Cache, tokenizer
 
 BLOCK_ROWS = 256
@@ -42,7 +43,7 @@ def _summaries(size: int, slots: int):
         slot = pa.array([TaskContext.get().partitionId() % slots], pa.int32())
         yield pa.RecordBatch.from_arrays([slot, pa.array([blob], pa.binary())], ["slot", "summary"])
 
-    return run
+    return task(run)
 
 
 def _merged(size: int):
@@ -91,7 +92,7 @@ def _counts(path: str, table, limit: int):
                         out.append(sum(map(some.__getitem__, chunks)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(np.array(out, np.int64))], ["id", "n_bytes", "n_tokens"])
 
-    return run
+    return task(run)
 
 
 def token_counts(

@@ -132,11 +132,9 @@ def align(guide: Column, site: Column, k: int, match: str = "compatible", strip:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for g, s in batches:
             given = (g.notna() & s.notna()).to_numpy()
-            rows = np.empty(len(g), object)
-            rows[:] = [(None, None, None)] * len(g)
-            found = align_batch(g[given].tolist(), s[given].tolist(), k, match, strip)
-            rows[np.flatnonzero(given)] = [*found, None][:-1] if found else []
-            out = pd.DataFrame(rows.tolist(), columns=["aln_guide", "aln_ref", "distance"])
+            found = iter(align_batch(g[given].tolist(), s[given].tolist(), k, match, strip))
+            rows = [next(found) if there else (None, None, None) for there in given]
+            out = pd.DataFrame(rows, columns=["aln_guide", "aln_ref", "distance"])
             yield out.astype({"distance": "Int32"})
 
     return run(guide, site)

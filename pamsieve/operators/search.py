@@ -152,7 +152,7 @@ def exact_search(windows: DataFrame, guides: DataFrame, motif: Motif) -> DataFra
 def early_stop(hits: DataFrame, limits: list[int]) -> DataFrame:
     """Hits up to and with the one by which a guide reaches its limit at some distance; a limit of 0 counts as 1.
 
-    Traversal is by distance, alignment, chromosome, start and strand.  ``limits`` has a number for each distance from 0.
+    Traversal is by distance, chromosome, start and strand.  ``limits`` has a number for each distance from 0.
     """
     if not limits:
         raise ValueError("there must be a limit for each distance")

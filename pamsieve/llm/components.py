@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import cut
+from ._io import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least(F.min("v").over(own), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.distinct().withColumn("m", F.min("v").over(own))
         small = least.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u != v").distinct(), "edges")
+        old, edges = edges, cut(small.where("u != v").distinct(), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

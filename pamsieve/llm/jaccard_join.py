@@ -9,10 +9,10 @@ first n - need + l shingles of both hold l common ones.  Each set picks its l: i
 many index entries a prefix would touch and how many candidates could still reach l matches (touched / l), and takes
 the l with the least cost of touching plus verifying.  A pair is a candidate when its prefixes share min(l, l') shingles.
 
-Large groups of near copies would give all their pairs.  So candidates come in two rounds.  First each set is compared
-with the smallest set of each bucket (a star, linear in the index); verified links give components.  Then all pairs of
-a bucket that lie in different components so far are joined, under the length, position and parity-signature bounds,
-all lossless and part of the join condition.  Pairs inside a component can't change it.  Sets of shingles are read
+Large groups of near copies would give all their pairs.  So a few star rounds come first: each bucket draws a hub, each
+set is compared with the likest of its hubs (as signatures tell) that isn't in its component yet, and verified links
+give new components.  A round is linear in the index, and rounds end when they find few links.  Then all pairs of a bucket that lie in different components
+still are joined, under the length, position and parity-signature bounds, all lossless and part of the join condition.  Pairs inside a component can't change it.  Sets of shingles are read
 again from the texts, for those classes only that have a candidate, and compared exactly.
 """
 
@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import bloom, bloom_position, cut, input_bytes, power_of_two
-from ._text import Words, blocks, mix, signed
+from ._io import bloom, bloom_position, cut, discard, input_bytes, power_of_two
+from ._text import Words, blocks, mix, signed, task
 from .components import components
 
 CHUNK = 1 << 16
 SIG = [f"s{i}" for i in range(8)]
 MAX_MATCHES = 8
 SEEN = 200_000
+STAR_ROUNDS = 3
+SMALL = 4
 _LOG = 8  # steps a doubling of the frequency in the broadcast sketch
 
 
@@ -106,7 +108,7 @@ def _describe(shingle: int, width: int):
                 schema=_ROW_SCHEMA,
             )
 
-    return run
+    return task(run)
 
 
 def _sum_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +173,7 @@ def _index(shingle: int, width: int, percent: int, floor: float, sketch):
                     [pa.array(signed(np.concatenate(tokens))), pa.array(classes, pa.binary()).take(pa.array(at)), pa.array(info)], ["token", "c", "info"]
                 )
 
-    return run
+    return task(run)
 
 
 def _extract(shingle: int, wanted):
@@ -186,7 +188,7 @@ def _extract(shingle: int, wanted):
                     [pa.array([_class(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())], ["c", "shingles"]
                 )
 
-    return run
+    return task(run)
 
 
 def _verify(percent: int):
@@ -200,14 +202,52 @@ def _verify(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return task(run)
+
+
+def _differ(a: str, b: str) -> Column:
+    """Signature bits in which two entries ``a`` and ``b`` (prefixes of their columns) differ."""
+    bits = [F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SIG]
+    return sum(bits[1:], bits[0])
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """Length and signature bounds of two entries ``a`` and ``b`` (prefixes of their columns)."""
+    """Length and signature bounds of two entries."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differ = sum((F.bit_count(F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))) for s in SIG[1:]), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (_differ(a, b) * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries without those of small buckets that no other entry of the bucket could link with, by all bounds.
+
+    Most buckets hold two or three classes that share a common phrase; larger ones are left as they are.
+    """
+    order = Window.partitionBy("token").orderBy("n", "c")
+    out = entries.withColumn("held", F.count("*").over(Window.partitionBy("token")))
+    met = F.lit(False)
+    for step in range(1, SMALL):
+        for tag, shift in ((f"b{step}", F.lag), (f"a{step}", F.lead)):
+            out = out.withColumn(tag, shift(F.struct("n", *SIG), step).over(order))
+            met = met | F.coalesce(_close("", f"{tag}.", percent), F.lit(False))
+    return out.where((F.col("held") > SMALL) | met).select(*entries.columns)
+
+
+def _open(entries: DataFrame, bucket) -> DataFrame:
+    """Entries of those buckets that hold more than one component."""
+    return entries.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi").drop("lo", "hi")
+
+
+def _closest_hubs(entries: DataFrame, bucket, percent: int, turn: int) -> DataFrame:
+    """Pairs (x, y) of each class and the likest hub of its buckets that lies in another component.
+
+    A bucket's hub is one of its classes, drawn by hash anew in each turn and bucket.
+    """
+    hub = F.min(F.struct(F.xxhash64("c", "token", F.lit(turn)).alias("draw"), "c", "n", "label", *SIG)).over(bucket)
+    met = entries.withColumn("hub", hub).where("label != hub.label")
+    met = met.select("c", "n", *SIG, F.col("hub.c").alias("_c"), F.col("hub.n").alias("_n"), *(F.col(f"hub.{s}").alias(f"_{s}") for s in SIG))
+    met = met.where(_close("", "_", percent)).withColumn("far", _differ("", "_") / (F.col("n") + F.col("_n")))
+    best = met.groupBy("c").agg(F.min(F.struct("far", "_c")).alias("best")).select("c", F.col("best._c").alias("_c"))
+    return best.select(F.least("c", "_c").alias("x"), F.greatest("c", "_c").alias("y")).distinct()
 
 
 class _Verifier:
@@ -223,9 +263,12 @@ class _Verifier:
         held = sc.broadcast(np.frombuffer(bytes(bloom(rows, F.col("row"), self.bits)), np.uint8))
         texts = self.rows.where("id is not null").withColumn("bit", bloom_position(F.col("row"), self.bits)).select("text", "bit")
         sets = cut(texts.mapInArrow(_extract(self.shingle, held), "c binary, shingles binary"), "sets")
+        held.unpersist()
         left = pairs.join(sets.select(F.col("c").alias("x"), F.col("shingles").alias("a")), "x")
         both = left.join(sets.select(F.col("c").alias("y"), F.col("shingles").alias("b")), "y").select("x", "y", "a", "b")
-        return cut(both.mapInArrow(_verify(self.percent), "x binary, y binary").distinct(), "links")
+        links = cut(both.mapInArrow(_verify(self.percent), "x binary, y binary").distinct(), "links")
+        discard(sets)
+        return links
 
 
 def ngram_jaccard_join(
@@ -257,23 +300,40 @@ def ngram_jaccard_join(
 
     index = rows.where("id is not null").select("text").mapInArrow(_index(shingle, width, percent, floor, sketch), "token long, c binary, info long")
     bucket = Window.partitionBy("token")
-    shared = index.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo != hi").drop("lo", "hi")
+    # in a bucket sorted by size, an entry has a partner of fitting size only if a neighbour fits
+    by_size = bucket.orderBy("info", "c")
+    size_of = lambda c: F.shiftright(c, 28)
+    fits = F.coalesce(100 * size_of(F.lag("info").over(by_size)) >= percent * size_of("info"), F.lit(False)) | F.coalesce(
+        100 * size_of("info") >= percent * size_of(F.lead("info").over(by_size)), F.lit(False)
+    )
+    shared = index.withColumn("fits", fits).withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("fits and lo != hi").drop("fits", "lo", "hi")
     shared = shared.dropDuplicates(["token", "c"]).select(
         "token", "c", F.shiftright("info", 28).alias("n"), F.shiftright("info", 24).bitwiseAND(15).alias("least"), F.col("info").bitwiseAND((1 << 24) - 1).alias("place")
     )
-    entries = cut(shared.join(classes.select("c", *SIG), "c"), "entries")
+    entries = cut(_with_partners(shared.join(classes.select("c", *SIG), "c").withColumn("label", F.col("c")), percent), "entries")
+    sketch.unpersist()
 
     verify = _Verifier(rows, classes, shingle, percent, bits)
-    whole = F.struct("c", "n", *SIG)
-    star = entries.withColumn("hub", F.min(whole).over(bucket)).where("c != hub.c")
-    star = star.select("c", "n", *SIG, F.col("hub.c").alias("_c"), F.col("hub.n").alias("_n"), *(F.col(f"hub.{s}").alias(f"_{s}") for s in SIG))
-    star = cut(star.where(_close("", "_", percent)).select(F.col("_c").alias("x"), F.col("c").alias("y")).distinct(), "star")
-    links = verify(star)
-    labels = components(links)
-
-    named = entries.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    open_ = named.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi").drop("lo", "hi")
-    open_ = cut(open_, "open")
+    links = known = None
+    open_ = entries
+    for turn in range(STAR_ROUNDS):
+        tried = cut(_closest_hubs(open_, bucket, percent, turn), "tried")
+        if known is not None:
+            tried = cut(tried.join(known, ["x", "y"], "left_anti"), "tried")
+        if tried.isEmpty():
+            break
+        known = tried if known is None else known.unionByName(tried)
+        found = verify(tried)
+        gained = found.count()
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        old = open_
+        open_ = cut(_open(open_.drop("label").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")), bucket), "open")
+        discard(old)
+        if turn == 0:
+            first = gained
+        elif gained * 10 < first:  # what is left is left to the exact join
+            break
     x = open_.select(*(F.col(c).alias(f"x_{c}") for c in open_.columns))
     y = open_.select(*(F.col(c).alias(f"y_{c}") for c in open_.columns))
     n, m, p, q = (F.col(c) for c in ("x_n", "y_n", "x_place", "y_place"))
@@ -281,13 +341,20 @@ def ngram_jaccard_join(
     far = (F.col("x_token") == F.col("y_token")) & (F.col("x_c") < F.col("y_c")) & (F.col("x_label") != F.col("y_label"))
     pairs = x.join(y, far & _close("x_", "y_", percent) & (bound * (100 + percent) >= percent * (n + m)))
     pairs = pairs.groupBy(F.col("x_c").alias("x"), F.col("y_c").alias("y")).agg(F.count("*").alias("both"), F.min(F.least("x_least", "y_least")).alias("least"))
-    rest = cut(pairs.where("both >= least").select("x", "y").join(star, ["x", "y"], "left_anti"), "rest")
+    pairs = pairs.where("both >= least").select("x", "y")
+    if known is not None:
+        pairs = pairs.join(known, ["x", "y"], "left_anti")
+    rest = cut(pairs, "rest")
+    discard(open_)
     if not rest.isEmpty():
-        labels = components(links.unionByName(verify(rest)))
+        found = verify(rest)
+        links = found if links is None else links.unionByName(found)
+    labels = components(links if links is not None else rest)
 
     named = classes.select("c", "first").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     result = cut(named.join(smallest, "label").select("c", "component_id"), "components")
+    discard(classes)
     out = texts.select("id", "n", "c").join(result, "c", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

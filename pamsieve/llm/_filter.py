@@ -29,12 +29,3 @@ def without(df: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
     told = may_be_in(df, keys, key, bits)
     open_rows = told.where(MAYBE).drop(MAYBE).join(keys.select(key).distinct(), key, "left_anti")
     return told.where(f"not {MAYBE}").drop(MAYBE).unionByName(open_rows)
-
-
-def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str], bits: int) -> DataFrame:
-    """``df`` with ``columns`` replaced where ``changes`` (one row a key) has the row's ``key``."""
-    told = may_be_in(df, changes, key, bits)
-    new = changes.select(key, F.lit(True).alias("_new"), *(F.col(c).alias(f"_new_{c}") for c in columns))
-    joined = told.where(MAYBE).drop(MAYBE).join(new, key, "left")
-    joined = joined.withColumns({c: F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
-    return told.where(f"not {MAYBE}").drop(MAYBE).unionByName(joined.select(*df.columns))

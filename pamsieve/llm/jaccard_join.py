@@ -38,6 +38,8 @@ MAX_MATCHES = 8
 SEEN = 200_000
 STAR_ROUNDS = 3
 SMALL = 4
+PARTNERS = 0.1  # classes that share a token the sketch can't tell from a unique one, on average
+FAR = 208  # signature bits; unrelated sets of any size differ in about 256 of 512, with a deviation of 11
 _LOG = 8  # steps a doubling of the frequency in the broadcast sketch
 
 
@@ -136,7 +138,7 @@ def _prefix(found: np.ndarray, levels: np.ndarray, width: int, percent: int, flo
     need = -(-percent * n // 100)
     most = min(MAX_MATCHES, need)
     length = n - need + np.arange(1, most + 1)
-    touched = np.cumsum(np.maximum(2.0 ** (level[order[: length[-1]]] / _LOG) - floor, 0.0))[length - 1]
+    touched = np.cumsum(np.maximum(2.0 ** (level[order[: length[-1]]] / _LOG) - floor, PARTNERS))[length - 1]
     matches = np.arange(1, most + 1)
     cost = touched * (1 + (1 + n / 64) / matches) + matches
     best = int(np.argmin(cost))
@@ -245,7 +247,8 @@ def _closest_hubs(entries: DataFrame, bucket, percent: int, turn: int) -> DataFr
     hub = F.min(F.struct(F.xxhash64("c", "token", F.lit(turn)).alias("draw"), "c", "n", "label", *SIG)).over(bucket)
     met = entries.withColumn("hub", hub).where("label != hub.label")
     met = met.select("c", "n", *SIG, F.col("hub.c").alias("_c"), F.col("hub.n").alias("_n"), *(F.col(f"hub.{s}").alias(f"_{s}") for s in SIG))
-    met = met.where(_close("", "_", percent)).withColumn("far", _differ("", "_") / (F.col("n") + F.col("_n")))
+    # what looks unrelated is left to the exact join, which asks for shared tokens first
+    met = met.where(_close("", "_", percent) & (_differ("", "_") <= FAR)).withColumn("far", _differ("", "_") / (F.col("n") + F.col("_n")))
     best = met.groupBy("c").agg(F.min(F.struct("far", "_c")).alias("best")).select("c", F.col("best._c").alias("_c"))
     return best.select(F.least("c", "_c").alias("x"), F.greatest("c", "_c").alias("y")).distinct()
 

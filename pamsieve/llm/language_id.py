@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import cut
+from ._text import task
 
 BINS = 1 << 15
 _HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -61,9 +62,12 @@ class TextModel:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_labelled: int = 2000, max_chars: int = 2000, effective: float = 48.0) -> TextModel:
-    """Fit on at most ``max_labelled`` rows, those of the smallest hash, and at most ``max_chars`` characters of each."""
+    """Fit on at most ``max_labelled`` different rows, those of the smallest hash, and at most ``max_chars`` characters of each."""
     given = labelled.select(F.substring(F.col(text_col), 1, max_chars).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    rows = given.orderBy(F.xxhash64("text"), "lang").limit(max_labelled).collect()
+    given = given.withColumn("draw", F.xxhash64("text", "lang"))
+    # the draws come to the driver first, eight bytes each; texts only of the rows drawn
+    last = given.select("draw").distinct().orderBy("draw").limit(max_labelled).agg(F.max("draw")).first()[0]
+    rows = given.where(F.col("draw") <= F.lit(last)).dropDuplicates(["draw"]).collect() if last is not None else []
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         raise ValueError("no labelled rows to train from")
@@ -98,7 +102,7 @@ def _evidence(model):
                 ["id", "host", "domain", "suffix", "declared", *(f"l{k}" for k in range(table.shape[1]))],
             )
 
-    return run
+    return task(run)
 
 
 def _softmax(scores: list[Column]) -> list[Column]:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._filter import updated, without
+from ._filter import without
 from ._io import cut, input_bytes, power_of_two
 from .jaccard_join import ngram_jaccard_join
 from .packing import pack
@@ -50,10 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a smaller document has too are cut; a text that loses nothing keeps its white space."""
-    found = substring_dedup(docs).where("n_removed > 0").select(F.col("row_key").alias("_row"), F.col("kept_text").alias("text"))
-    changes = cut(found.dropDuplicates(["_row"]), "changes")  # equal rows lose the same words
-    out = updated(_keyed(docs), changes, "_row", ["text"], _bits(docs))
-    return _like(docs, out)
+    out = substring_dedup(docs, whole=True, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    return _like(docs, out.withColumnRenamed("kept_text", "text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

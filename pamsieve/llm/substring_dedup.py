@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import bloom, bloom_position, cut, input_bytes, power_of_two
-from ._text import Words, blocks, signed
+from ._text import Words, blocks, signed, task
 
 SHINGLE = 7
 CHUNK = 1 << 16
-FLUSH = 1 << 22
+FLUSH = 1 << 20
 KEY_MASK = 0x7FFFFFFF
 _CHUNKS = "chunk int, once binary, twice binary"
 _WINDOWS = "h1 long, h2 int, id long, at long"
@@ -89,7 +89,7 @@ def _sketch(width: int, window: int, shingle: int):
         if n:
             yield _chunks(found)
 
-    return run
+    return task(run)
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -150,10 +150,10 @@ def _repeated(width: int, window: int, shingle: int, sketch):
                     ["h1", "h2", "id", "at"],
                 )
 
-    return run
+    return task(run)
 
 
-def _finish(window: int, bits: int | None, sketch):
+def _finish(window: int, whole: bool, bits: int | None, sketch):
     """Without marks at hand (``bits`` given): what a filter rules out is done, the rest passes with its text."""
 
     def marked(words: Words, i: int, key: int, marks) -> np.ndarray:
@@ -174,29 +174,31 @@ def _finish(window: int, bits: int | None, sketch):
             at = batch.column("bit").to_numpy(zero_copy_only=False) - 1 if bits else None
             maybe = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 if bits else None
             for i, j, words in blocks(text):
-                rows: dict[str, list] = {"id": [], "key": [], "n_words": [], "n_removed": [], "kept": [], "text": []}
+                n_words, n_removed, kept, left = [], [], [], []
                 for r in range(i, j):
-                    rows["id"].append(batch.column("id")[r].as_py())
-                    rows["key"].append(key[r])
                     if bits and maybe[r]:
-                        for c in ("n_words", "n_removed", "kept"):
-                            rows[c].append(None)
-                        rows["text"].append(text[r].as_py())
+                        n_words.append(None)
+                        n_removed.append(None)
+                        kept.append(None)
+                        left.append(text[r].as_py())
                         continue
                     gone = None
                     if not bits and marks[r].is_valid:
                         gone = marked(words, r - i, key[r], marks[r].values.to_numpy(zero_copy_only=False))
-                    rows["n_words"].append(int(words.counts[r - i]))
-                    rows["n_removed"].append(0 if gone is None else int(gone.sum()))
-                    rows["kept"].append(words.joined(r - i, None if gone is None or not gone.any() else ~gone).decode())
-                    rows["text"].append(None)
-                yield pa.RecordBatch.from_pydict(rows, schema=_STATE)
+                    lost = 0 if gone is None else int(gone.sum())
+                    n_words.append(int(words.counts[r - i]))
+                    n_removed.append(lost)
+                    kept.append(text[r].as_py() if whole and not lost else words.joined(r - i, ~gone if lost else None).decode())
+                    left.append(None)
+                part = batch.slice(i, j - i)
+                columns = [part.column("id"), part.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, part.column("rest")], [*_STATE, "rest"])
 
-    return run
+    return task(run)
 
 
-_STATE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("text", pa.string())])
-_STATE_DDL = "id long, key long, n_words long, n_removed long, kept string, text string"
+_STATE = ["id", "key", "n_words", "n_removed", "kept", "text"]
+_STATE_DDL = "id long, key long, n_words long, n_removed long, kept string, text string, rest "
 
 
 def repeated_windows(docs: DataFrame, window: int = 13, shingle: int = SHINGLE, max_counters: int = 1 << 27) -> DataFrame:
@@ -211,38 +213,47 @@ def repeated_windows(docs: DataFrame, window: int = 13, shingle: int = SHINGLE,
 
 
 def substring_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, max_counters: int = 1 << 27, filter_bits: int = 1 << 26
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 13,
+    max_counters: int = 1 << 27,
+    filter_bits: int = 1 << 26,
+    whole: bool = False,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Remove each word covered by a ``window``-word passage that also starts in a document with a smaller id.
 
     Returns a row for each input row: ``id_col``, n_words, n_removed (long), kept_text (the words that stay, joined by
-    one space) and row_key (xxhash64 of id and text, to find the row again).  Words are runs of anything but space and 0x09-0x0D; passages are judged on the input.
+    one space; with ``whole`` a text that loses nothing stays as it is) and the columns in ``keep``.  Words are runs of
+    anything but space and 0x09-0x0D; passages are judged on the input.
 
     Defined cases: a null or empty text has no words; a text of fewer words than ``window`` stays; a row without an id
     stays whole and is nobody's source; rows with one id are judged each by its own text and do not remove each
-    other's passages; equal rows get equal results; an empty table gives an empty result.  Other columns are ignored.
+    other's passages; equal rows get equal results; an empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rest = F.struct(F.lit(0).alias("_"), *(keep or [])).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest)
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     sc = docs.sparkSession.sparkContext
     marks = cut(repeated_windows(rows, window, max_counters=max_counters).groupBy("id").agg(F.collect_list("at").alias("marks")), "marks")
     bits = power_of_two(input_bytes(docs) / 64, 1 << 15, filter_bits)
     held = sc.broadcast(np.frombuffer(bytes(bloom(marks, F.col("id"), bits)), np.uint8))
-    state = rows.withColumn("bit", bloom_position(F.coalesce("id", F.lit(-1)), bits)).mapInArrow(_finish(window, bits, held), _STATE_DDL)
-    settled = state.join(marks, "id", "left").mapInArrow(_settle(window), _STATE_DDL)
-    return settled.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"), F.col("key").alias("row_key"))
+    schema = _STATE_DDL + rows.schema["rest"].dataType.simpleString()
+    state = rows.withColumn("bit", bloom_position(F.coalesce("id", F.lit(-1)), bits)).mapInArrow(_finish(window, whole, bits, held), schema)
+    settled = state.join(marks, "id", "left").mapInArrow(_settle(window, whole), schema)
+    return settled.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"), *(F.col(f"rest.{c}") for c in keep or []))
 
 
-def _settle(window: int):
+def _settle(window: int, whole: bool):
     """Pass on the rows that are done; work out the others from their text and marks."""
-    finish = _finish(window, None, None)
+    finish = _finish(window, whole, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             open_rows = batch.column("text").is_valid()
-            done = batch.filter(pa.compute.invert(open_rows))
-            yield done.select(list(_STATE.names)).cast(_STATE)
-            if (rest := batch.filter(open_rows)).num_rows:
-                yield from finish(iter([rest]))
+            yield batch.filter(pa.compute.invert(open_rows)).select([*_STATE, "rest"])
+            if (left := batch.filter(open_rows)).num_rows:
+                yield from finish(iter([left]))
 
     return run

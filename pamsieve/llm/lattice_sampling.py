@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._text import mix, task
 
 SPACE = "▁"
-BLOCK_CHARS = 600_000
+BLOCK_CHARS = 300_000
 _models: dict = {}
 
 

@@ -275,7 +275,7 @@ class _Verifier:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_counters: int = 1 << 25, filter_bits: int = 1 << 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_counters: int = 1 << 20, filter_bits: int = 1 << 26
 ) -> DataFrame:
     """(``id_col``, n_shingles, component_id) of each row; rows link when their sets' Jaccard similarity is percent/100 or more.
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +52,40 @@ def word_counts(texts: DataFrame, k: int) -> DataFrame:
     return substrings(texts, k).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def kmer_counts(texts: DataFrame, k: int, most: int = 1 << 18) -> DataFrame:
+    """(kmer, n): all words of ``k`` ASCII letters, 1 to 8; a task holds at most about ``most`` words and a tile before it hands counts out."""
+    if not 1 <= k <= 8:
+        raise ValueError("k-mers of 1 to 8 letters are counted")
+    ends = 8 * np.arange(k - 1, -1, -1, dtype=np.uint64)
+
+    def spelled(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(c).to_bytes(k, "big").decode() for c in counts]), pa.array(list(counts.values()), pa.int64())], ["kmer", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for tile in batch.column("tile"):
+                data = np.frombuffer(tile.as_buffer(), np.uint8).astype(np.uint64)
+                n = len(data) - k + 1
+                if n < 1:
+                    continue
+                code = np.zeros(n, np.uint64)
+                for i in range(k):
+                    code |= data[i : i + n] << ends[i]
+                for c, m in zip(*(x.tolist() for x in np.unique(code, return_counts=True)), strict=True):
+                    counts[c] += m
+                if len(counts) >= most:
+                    yield spelled(counts)
+                    counts = Counter()
+        if counts:
+            yield spelled(counts)
+
+    # a word belongs to the tile that it begins in
+    tiled = tiles(texts, max(1, k - 1))
+    own = tiled.select(F.substring("tile", F.col("lead") + 1, F.col("size") + (k - 1)).alias("tile"))
+    return own.mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def symbol_counts(texts: DataFrame) -> DataFrame:
     """(chrom, symbol, n): histogram of letters."""
     letters = F.explode(F.split("seq", "")).alias("symbol")

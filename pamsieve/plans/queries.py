@@ -194,7 +194,7 @@ def set_union_prefixes(spark, sf_dir):
 
 
 def kmers(spark, sf_dir):
-    return _contigs(spark, sf_dir).select(F.explode(dna.kmers(F.left("seq", F.lit(500)), 6)).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    return ti.kmer_counts(_contigs(spark, sf_dir), 6)
 
 
 def skipkmers(spark, sf_dir):

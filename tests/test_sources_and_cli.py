@@ -1,6 +1,8 @@
 import csv
 import glob
 import gzip
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pamsieve.operators import text_index as ti
 from pamsieve.operators import variants as va
 from pamsieve.operators.search import search
 from pamsieve.operators.sites import sites, tiles
+from pamsieve.plans import queries
 from pamsieve.sources import contigs as co
 from pamsieve.sources import tables as tb
 from pamsieve.streaming import guides as st
@@ -104,6 +107,18 @@ def test_text_index(spark):
     assert {r.word: r.n for r in ti.word_counts(t, 4).collect()}["abra"] == 2
 
 
+def test_kmers_of_whole_texts(spark, tmp_path):
+    rng = random.Random(4)
+    docs = ["".join(rng.choices("acgt TG,é7", k=k)) for k in (0, 5, 6, 499, 700, 90_000)] + ["tile" * 20_000, None]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    seqs = [r.seq for r in queries._contigs(spark, str(tmp_path)).collect()]
+    assert max(map(len, seqs)) > 1 << 16
+    want = Counter(s[i : i + 6] for s in seqs for i in range(len(s) - 5))
+    assert {r.kmer: r.n for r in queries.kmers(spark, str(tmp_path)).collect()} == want
+    few = ti.kmer_counts(spark.createDataFrame([("t", 11, "abracadabra"), ("u", 1, "a")], "chrom string, n long, seq string"), 4, most=1)
+    assert {r.kmer: r.n for r in few.collect()} == {"abra": 2} | dict.fromkeys(("brac", "raca", "acad", "cada", "adab", "dabr"), 1)
+
+
 def test_ranges(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate("aabbbca")], "i int, v string")
     got = sorted((r.start, r.stop, r.v) for r in rg.ranges(df, "v", "i").collect())

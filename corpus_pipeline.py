@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pamsieve.llm import pipeline_stages as stages
+from pamsieve.llm._io import cut
 
 STAGES = [
     ("quality rules", stages.quality),
@@ -18,8 +19,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, one after the other."""
+    """All stages over ``documents``, one after the other; each one's output is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

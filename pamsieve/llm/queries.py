@@ -66,7 +66,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
+    out = pack(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1, ids=True)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,23 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pamsieve.llm import pipeline_stages as stages
 from pamsieve.llm._filter import without
+from pamsieve.llm._io import shared_dir
 from pamsieve.llm.quality_rules import quality_rules
 from pamsieve.llm.secret_scan import scan_secrets
 
 from .test_jaccard_join import brute as jaccard_brute
 from .test_substring_dedup import brute as substring_brute
-from .test_tokens_and_packing import check_packing
+from .test_tokens_and_packing import BYTE, check_packing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,6 +105,23 @@ def test_run_is_the_stages_in_order(spark):
     assert 100 < len({r.doc_id for r in out}) < 200 and max(fill.values()) <= 2048
 
 
+def test_run_returns_the_ids_of_stored_texts(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    made = {p.name.rsplit("-", 1)[0]: p for p in set(folder.iterdir()) - before}
+    assert {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES} <= set(made)
+    texts = spark.read.parquet(str(made["secret-scans"])).where("doc_id is not null").collect()
+    unique = {r.doc_id: r.text for r in texts if sum(x.doc_id == r.doc_id for x in texts) == 1}
+    assert len(unique) > 40
+    tok = Tokenizer.from_file(BYTE)
+    for i, text in unique.items():
+        pieces = sorted((r for r in out if r.doc_id == i), key=lambda r: r.start)
+        ids = np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist()
+        assert ids == tok.encode(text or "", add_special_tokens=False).ids + [1]
+
+
 def test_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -1,13 +1,14 @@
 """Operator 7, secret scans: a random forest removes false positives; DataFrame and SQL functions only.
 
-Candidates are maximal runs of 16 or more letters, digits and ``_+/=-`` that hold a digit.  Each is described by its
-length, character transitions, digits, variety, dictionary coverage, the path (the document's source) and neighbouring
-words.  A random forest, trained from labelled findings, scores it; its trees are compiled to CASE expressions, so
-scanning is one pass over the texts without a shuffle, and texts without a digit are told by one test.
+Candidates are maximal runs of 16 or more letters, digits and ``_+/=-``, and words of any length that a hint assigns
+(``password = x``, ``"token": "x"``, ``Bearer x``).  Each is described by its length, character transitions, digits,
+variety, dictionary coverage, vowels, known forms, the path (the document's source) and neighbouring words.  A random forest, trained from labelled findings, scores it; its trees are compiled to CASE expressions, so
+scanning is one pass over the texts without a shuffle, and texts without a run or a hint are told by one test.
+A secret of several words (a passphrase with blanks) is found by its first word only.
 
 Labelled findings are rows (value, before, path, label); at most ``max_labelled`` of them are used, those of the
 smallest hash.  The corpus has none, so by default a generator makes them: keys, tokens and passwords of common kinds
-against card numbers, phone numbers, identifiers, commit hashes, dates, paths and words with digits.
+against card numbers, phone numbers, identifiers, commit hashes, dates, paths, long words and words with digits.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from . import forest
 _RUN = r"[A-Za-z0-9_+/=\-]{16,}"
 _WORD = r"[\x20\x09-\x0D]+"
 _HINT = r"(key|token|secret|passw|pwd|auth|credential|bearer|private|signature)"
+_ASSIGNED = rf"(?i)(?:{_HINT[1:-1]})[\w\-]*[\"'`\])]*(?:\s*[=:]+>?|(?<=bearer))\s*(?<![a-z])(\S+)$"
+_KNOWN = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-.{10,})$"
 _HARMLESS = r"(sha|commit|hash|checksum|digest|uuid|guid|order|card|phone|isbn|version|revision|build|ticket|invoice|etag|date|call|pay)"
 _TEST_PATH = r"(test|example|sample|fixture|mock|doc|readme|demo)"
 _WORDS = ["access", "and", "article", "build", "data", "date", "document", "error", "file", "for", "image", "index", "ing", "item", "list", "name", "number", "order", "page", "report", "section", "test", "the", "tion", "user", "value", "version", "year"]
-FEATURES = ["length", "transitions", "digits", "variety", "coverage", "upper", "separators", "hex", "hint", "harmless", "assigned", "test_path"]
+FEATURES = ["length", "transitions", "digits", "variety", "coverage", "upper", "separators", "hex", "hint", "harmless", "assigned", "test_path", "symbols", "vowels", "known", "assigned_length"]
 MASK = "[SECRET]"
 
 
@@ -56,6 +59,10 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
         "harmless": flag(near.rlike(_HARMLESS)),
         "assigned": flag(before.rlike("[=:]\\s*\\S*$")),
         "test_path": flag(F.lower(path).rlike(_TEST_PATH)),
+        "symbols": _share(value, r"[^A-Za-z0-9_+/=\-]+"),
+        "vowels": _share(F.lower(value), "[aeiou]+"),
+        "known": flag(value.rlike(_KNOWN)),
+        "assigned_length": F.when(near.rlike(rf"{_HINT}[\w\-]*[\"'`\])]*(\s*[=:]+>?|(?<=bearer))[\s\"'`]*$"), n).otherwise(0).cast("double"),
     }
 
 
@@ -81,8 +88,27 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Dat
         lambda: "/".join(["", word(), word(), text(digits, 4), text(digits, 2), word() + "index"]), lambda: word() + word() + word() + text(digits, 2) + "number", lambda: f"20{text(digits, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T10-00-00",
         lambda: "0" * rng.randint(16, 30), lambda: "-".join(text(hexes, k) for k in (8, 4, 4, 4, 12)), lambda: "=" * 8 + text(digits, 1) + "=" * 12,
     ]
+    passphrase = lambda: rng.choice("-_").join(text("aeiounrstlhdcmpbg", rng.randint(3, 8)) for _ in range(rng.randint(4, 6)))
+    free = [lambda: "AKIA" + text(string.ascii_uppercase, 16), lambda: text(string.ascii_letters, rng.randint(16, 40)), lambda: text(string.ascii_letters + "-_", rng.randint(20, 40)), lambda: passphrase, passphrase, passphrase, passphrase, passphrase]  # without a digit
+    short = [lambda: text("aeiounrstlhd", rng.randint(4, 8)) + text(digits, rng.randint(1, 4)) + text(alnum, rng.randint(0, 2)), lambda: text(alnum, rng.randint(5, 11)) + text(digits, rng.randint(1, 3)), lambda: text(alnum, rng.randint(4, 8)) + text("!@#$%&*?", rng.randint(1, 2)) + text(alnum, rng.randint(3, 7))]
+    long_words = [lambda: text("aeiounrstlhdaeion", rng.randint(16, 26)), lambda: "-".join([word(), word(), word(), word(), "section"]), lambda: "/".join(["", word(), word(), word(), word(), "index"]), lambda: rng.choice("-=_+") * rng.randint(16, 60), lambda: "_".join([word(), word(), "document", word()])]
+    plain = [word, word, lambda: word().capitalize(), lambda: rng.choice(["none", "null", "true", "false", "required", "missing", "invalid"]), lambda: text(digits, rng.randint(1, 3)), lambda: "/".join(["", word(), word()])]
     rows = []
     for _ in range(n):
+        if rng.random() < 0.35:
+            hinted, path = f"{word()} {rng.choice(hints)}", rng.choice(["src1", "src7", "config/app", "lib/client", "web"])
+            kind = rng.random()
+            if kind < 0.3:
+                rows.append((rng.choice(free)(), hinted, path, 1))
+            elif kind < 0.35:
+                rows.append((free[0](), f"{word()} {word()}", path, 1))
+            elif kind < 0.6:
+                rows.append((rng.choice(short)(), hinted, path, 1))
+            elif kind < 0.8:
+                rows.append((rng.choice(long_words)(), f"{word()} {word()}", path, 0))
+            else:
+                rows.append((rng.choice(plain)(), hinted, path, 0))
+            continue
         kind = rng.random()
         near = f"{word()} {word()}"
         path = rng.choice(["src1", "src7", "config/app", "lib/client", "web"])
@@ -116,18 +142,35 @@ def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 15, dept
 def _candidates(text: Column, path: Column) -> Column:
     """array<struct<value, before, after, word_no>> of a text."""
     words = F.split(text, _WORD)
-    told = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: (F.char_length(s["w"]) >= 16) & s["w"].rlike("[0-9]"))
+    told = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
 
     def at(s: Column, k: int) -> Column:
         return F.coalesce(F.get(words, s["i"] + k), F.lit(""))
 
+    def assigned(s: Column) -> Column:
+        """What a hint assigns, without quotes around it or punctuation behind; empty if none does."""
+        raw = F.regexp_extract(F.concat_ws(" ", at(s, -2), at(s, -1), s["w"]), _ASSIGNED, 1)
+        bare = F.when(raw.rlike("^[\"'`]"), F.regexp_extract(raw, "^[\"'`]+([^\"'`]+)", 1)).otherwise(F.regexp_replace(raw, "[,;.)>\\]}\"'`]+$", ""))
+        return F.when(bare.rlike("[A-Za-z0-9]") & s["w"].contains(bare), bare).otherwise("")
+
     def each(s: Column) -> Column:
-        head = F.split(s["w"], _RUN)
-        before = F.concat_ws(" ", at(s, -2), at(s, -1), head[0])
-        values = F.filter(F.regexp_extract_all(s["w"], F.lit(_RUN), F.lit(0)), lambda v: v.rlike("[0-9]"))
-        return F.transform(values, lambda v: F.struct(v.alias("value"), before.alias("before"), at(s, 1).alias("after"), s["i"].alias("word_no")))
+        near = [at(s, -2), at(s, -1)]
+        runs = F.regexp_extract_all(s["w"], F.lit(_RUN), F.lit(0))
+
+        def one(v: Column, head: Column) -> Column:
+            return F.struct(v.alias("value"), F.concat_ws(" ", *near, head).alias("before"), at(s, 1).alias("after"), s["i"].alias("word_no"))
+
+        more = F.filter(F.array(s["v"]), lambda v: (v != "") & ~F.array_contains(runs, v))
+        return F.concat(F.transform(runs, lambda v: one(v, F.split(s["w"], _RUN)[0])), F.transform(more, lambda v: one(v, F.split_part(s["w"], v, F.lit(1)))))
+
+    hinted = text.rlike(f"(?i){_HINT}")
+    told = F.transform(told, lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"), F.when(hinted, assigned(s)).otherwise("").alias("v")))
+    return F.flatten(F.transform(F.filter(told, lambda s: (s["v"] != "") | (F.char_length(s["w"]) >= 16)), each))
+
 
-    return F.flatten(F.transform(told, each))
+def _mask(text: Column, value: Column) -> Column:
+    quoted = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+    return F.when(F.char_length(value) < 16, F.regexp_replace(text, quoted, F.lit(MASK))).otherwise(F.replace(text, value, F.lit(MASK)))
 
 
 def scan_secrets(
@@ -136,7 +179,8 @@ def scan_secrets(
     """A row for each input row: ``id_col``, findings, n_candidates, n_secrets, redacted, and the columns in ``keep``.
 
     ``findings`` lists every candidate: word_no (its word's place in the text), value, score and is_secret (score of
-    ``threshold`` or more).  ``redacted`` is the text with each secret's value replaced by [SECRET] wherever it occurs.
+    ``threshold`` or more).  ``redacted`` is the text with each secret's value replaced by [SECRET] wherever it occurs; one of
+    fewer than 16 characters, wherever no letter or digit stands beside it.
 
     Defined cases: a null or empty text has no candidates and is passed on; a null path is empty; ids are passed on,
     null or repeated; an empty table gives an empty result; other columns are ignored.
@@ -146,7 +190,7 @@ def scan_secrets(
     kept = F.struct(F.lit(0).alias("_"), *(keep or []))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path"), kept.alias("kept"))
     none = F.array().cast("array<struct<value:string,before:string,after:string,word_no:int>>")
-    rows = rows.withColumn("found", F.when(F.col("text").rlike("[0-9]"), _candidates(F.col("text"), F.col("path"))).otherwise(none))
+    rows = rows.withColumn("found", F.when(F.col("text").rlike(f"{_RUN}|(?i){_HINT}"), _candidates(F.col("text"), F.col("path"))).otherwise(none))
     described = F.transform(
         "found", lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), *(v.alias(k) for k, v in features(c["value"], c["before"], F.col("path")).items()))
     )
@@ -159,7 +203,7 @@ def scan_secrets(
     secrets = F.transform(F.filter("findings", lambda c: c["is_secret"]), lambda c: c["value"])
     # longer values first: one may be part of another
     ordered = F.array_sort(F.array_distinct(secrets), lambda a, b: F.char_length(b) - F.char_length(a))
-    redacted = F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
+    redacted = F.aggregate(ordered, F.col("text"), _mask)
     return rows.select(
         F.col("id").alias(id_col),
         "findings",

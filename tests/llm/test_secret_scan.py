@@ -61,3 +61,26 @@ def test_candidates_against_brute_force(spark):
     for r in scan_secrets(df).collect():
         want = [(k, v) for k, w in enumerate(re.split(r"[\x20\x09-\x0D]+", texts[r.doc_id])) for v in RUN.findall(w) if re.search("[0-9]", v)]
         assert [(f.word_no, f.value) for f in r.findings] == want
+
+
+def test_recall_on_whole_texts(spark):
+    rng = random.Random(12)
+    upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    pick = lambda letters, k: "".join(rng.choices(letters, k=k))
+    secrets = [(form, "AKIA" + pick(upper, 16)) for form in ("the id {} here", "key: {}") for _ in range(20)]
+    secrets += [("token = '{}'", pick(mixed, rng.randint(20, 32))) for _ in range(20)]
+    secrets += [("password = {}", "-".join(pick("aeiounrstlhdcmpbg", 6) for _ in range(4))) for _ in range(20)]
+    for form in ("password = {}", "password={}", '"password": "{}",', "my pwd: {}\nend"):
+        secrets += [(form, v) for v in ("hunter2x", "P@ssw0rd!2024-x", "tG7!kq9z", "sunrise4471")]
+    rows = [(i, f"some words before {form.format(v)} and words after", "src1") for i, (form, v) in enumerate(secrets)]
+    plain = ["internationalisation of administration", "author: unknown and key: none", "see /usr/local/share/index", "-" * 40, "a token is a word, a password too"]
+    rows += [(1000 + i, t, "src1") for i, t in enumerate(plain)]
+    got = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    missed = [rows[i][1] for i, (_, v) in enumerate(secrets) if v in got[i].redacted]
+    assert len(missed) <= 0.05 * len(secrets), missed
+    assert not [r.redacted for i, r in got.items() if i >= 1000 and r.n_secrets]
+
+
+def test_short_values_are_masked_as_words(spark):
+    df = spark.createDataFrame([(1, "password = hunter2x then hunter2x, xhunter2xy", "src1")], "doc_id long, text string, source string")
+    assert scan_secrets(df).first().redacted == "password = [SECRET] then [SECRET], xhunter2xy"

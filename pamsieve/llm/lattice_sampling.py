@@ -12,7 +12,8 @@ segmentation, its bound the largest perturbed value of all that begin so; the ro
 choice with the bound itself is drawn by probability, and the rest of the choices together get a Gumbel of their
 total probability, cut off at the node's bound.  So a way to an end costs one pass, leaving at each step one open set
 ("all other choices here"); the best open set is next: one of its choices is drawn, the text behind it anew.  Every
-step is vectorised over all words of a block of texts.
+step is vectorised over all words of a block of texts.  Lattices of words are kept for later blocks of the task, up
+to MAX_NODES letters; a block's own words are always held, so a text without spaces needs about 150 bytes a letter.
 
 Noise is a hash of the row's key, the sample's number and the place, so results don't depend on how rows are dealt
 out.  Sampling k + 1 gives the threshold t by which a segmentation of log-probability p has inclusion
@@ -35,6 +36,8 @@ from ._text import mix, task
 
 SPACE = "▁"
 BLOCK_CHARS = 300_000
+BATCH_EDGES = 1 << 24
+MAX_NODES = 400_000  # letters of different words whose lattices a task holds; about 150 bytes each
 _models: dict = {}
 
 
@@ -51,7 +54,10 @@ class Vocabulary:
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in plain):
             raise ValueError("the vocabulary has pieces that run over spaces")
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+        if len(self.bytes) < 256:
+            raise ValueError("the vocabulary has no pieces for bytes")
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.byte_id = np.array([self.bytes[b] for b in range(256)], np.int32)
         self.byte_weight = -alpha * np.log(n + 10.0)
         weight = {i: -alpha * np.log(rank + 10.0) for rank, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
         letters = sorted({c for i in plain for c in self.pieces[i]})
@@ -78,7 +84,6 @@ class Vocabulary:
                 first[c] = t
         self.first, self.end, self.value = first, np.array(ends, np.int32), np.array(values)
 
-
     def _tabulate(self, keys: np.ndarray, states: np.ndarray) -> None:
         """A hash table of (state, letter) -> state with linear probing."""
         size = 1 << int(np.ceil(np.log2(max(16, 4 * len(keys)))))
@@ -121,10 +126,48 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """Edges of the lattices of some strings laid end to end; node i stands before letter i, strings share no edge."""
+    """Edges of the lattices of different words, added as they are met; node i stands before letter i, words share no edge.
+
+    All values of a node depend on its word alone, so it doesn't matter which words are held beside it.
+    """
 
-    def __init__(self, vocab: Vocabulary, letters: np.ndarray, ends: np.ndarray):
-        """``letters``: code points of all strings; ``ends``: for each letter, where its string ends."""
+    def __init__(self, vocab: Vocabulary, limit: int = MAX_NODES):
+        self.vocab, self.limit = vocab, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}  # word -> its first node
+        self.nodes = self.edges = 0
+        self.letter, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.start, self.stop, self.id = (np.zeros(0, np.int32) for _ in range(3))
+        self.logp, self.upto, self.other = (np.zeros(0) for _ in range(3))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The first node of each word; unknown ones are added, and if there is no room, what is held goes first."""
+        new = list(set(words).difference(self.words))
+        size = sum(map(len, new))
+        if self.nodes and self.nodes + size > self.limit:
+            self.clear()
+            new = list(set(words))
+        if new:
+            self._add(new)
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        have = getattr(self, name)
+        if at + len(values) > len(have):
+            more = np.empty(max(len(have) * 5 // 4, at + len(values)), have.dtype)
+            more[:at] = have[:at]
+            setattr(self, name, more)
+            have = more
+        have[at : at + len(values)] = values
+
+    def _add(self, words: list[str]) -> None:
+        vocab = self.vocab
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
+        sizes = np.array([len(w) for w in words], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        ends = np.repeat(begin + sizes, sizes).astype(np.int32)
         n = len(letters)
         code = vocab.code[letters]
         at, state = np.arange(n, dtype=np.int32), vocab.first[code]
@@ -153,51 +196,86 @@ class Lattice:
         if len(start):
             single[start[np.concatenate(stops) - start == 1]] = True
         raw = np.flatnonzero(~single).astype(np.int32)  # letters without a piece of their own: their bytes
-        size = np.where(letters[raw] < 0x80, 1, np.where(letters[raw] < 0x800, 2, np.where(letters[raw] < 0x10000, 3, 4)))
         start = np.concatenate([start, raw])
         order = np.argsort(start, kind="stable")
-        self.start = start[order]
-        self.stop = np.concatenate([*stops, raw + 1])[order]
-        self.id = np.concatenate([*ids, np.full(len(raw), -1, np.int32)])[order]
-        self.weight = np.concatenate([*weights, size * vocab.byte_weight])[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.start, minlength=n))]).astype(np.int32)
-        self._sum_back(n, ends)
-
-    def _sum_back(self, n: int, ends: np.ndarray) -> None:
-        """beta[i]: log of the total weight of ways from node i to its string's end; then the choices' probabilities."""
+        start = start[order]
+        stop = np.concatenate([*stops, raw + 1])[order]
+        piece = np.concatenate([*ids, np.full(len(raw), -1, np.int32)])[order]
+        weight = np.concatenate([*weights, utf8_size(letters[raw]) * vocab.byte_weight])[order]
+        many = np.bincount(start, minlength=n)
+        first = np.concatenate([[0], np.cumsum(many)])
+        logp = self._sum_back(ends, first, start, stop, weight)
+        upto, other = self._choices(many, first, logp)
+        for name, values in (("start", start + self.nodes), ("stop", stop + self.nodes), ("id", piece), ("logp", logp), ("upto", upto), ("other", other)):
+            self._put(name, self.edges, values)
+        self._put("letter", self.nodes, letters)
+        self._put("first", self.nodes, first + self.edges)
+        self.words.update(zip(words, (begin + self.nodes).tolist(), strict=True))
+        self.nodes, self.edges = self.nodes + n, self.edges + len(start)
+
+    @staticmethod
+    def _sum_back(ends: np.ndarray, first: np.ndarray, start: np.ndarray, stop: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the choices, by beta[i]: log of the total weight of ways from node i to its word's end."""
+        n = len(ends)
         beta = np.zeros(n + 1)
         left = ends - np.arange(n, dtype=np.int32)
         order = np.argsort(left, kind="stable").astype(np.int32)
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(left))])[1:] if n else [0]
-        counts = np.diff(self.first)
-        final = self.stop == (ends[self.start] if n else self.stop)
-        onward = np.minimum(self.stop, n)
-        onward[final] = n  # beta[n] stays 0
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(left))])[1:]
+        counts = np.diff(first)
+        onward = np.where(stop == ends[start], n, stop)  # beta[n] stays 0
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             nodes = order[a:b]
             if not len(nodes):
                 continue
             many = counts[nodes]
             cut = np.cumsum(many) - many
-            edge = np.repeat(self.first[nodes] - cut, many) + np.arange(many.sum())
-            value = self.weight[edge] + beta[onward[edge]]
+            edge = np.repeat(first[nodes] - cut, many) + np.arange(many.sum())
+            value = weight[edge] + beta[onward[edge]]
             top = np.maximum.reduceat(value, cut)
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, many)), cut))
-        self.logp = np.minimum(self.weight + beta[onward] - beta[self.start], 0.0)
-        total = np.cumsum(np.exp(self.logp))
-        before = np.concatenate([[0.0], total])[self.first[self.start]] if len(total) else total
-        self.upto = total - before  # probability of the choices up to and with this one
+        return np.minimum(weight + beta[onward] - beta[start], 0.0)
+
+    @staticmethod
+    def _choices(many: np.ndarray, first: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each choice of a node: the probability of those up to and with it, and the log of all others' together."""
+        p = np.exp(logp)
+        upto, behind, deepest = p.copy(), np.zeros(len(p)), int(many.max(initial=1))
+        for rank in range(1, deepest):
+            deep = first[:-1][many > rank] + rank
+            upto[deep] += upto[deep - 1]
+        for rank in range(1, deepest):
+            deep = first[1:][many > rank] - 1 - rank
+            behind[deep] = behind[deep + 1] + p[deep + 1]
+        ahead = np.zeros(len(p))  # not upto - p, which would lose what is small
+        ahead[1:] = upto[:-1]
+        ahead[first[:-1]] = 0.0
+        other, several = np.full(len(p), -np.inf), np.repeat(many > 1, many)
+        with np.errstate(divide="ignore"):
+            other[several] = np.log(ahead[several] + behind[several])
+        for e in np.flatnonzero(several & (other == -np.inf)).tolist():  # too small for sums of probabilities
+            node = np.searchsorted(first, e, side="right") - 1
+            other[e] = np.logaddexp.reduce(np.delete(logp[first[node] : first[node + 1]], e - first[node]))
+        return upto, other
 
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge from each node, by probability."""
         edge, last = self.first[nodes], self.first[nodes + 1] - 1
-        left = np.arange(len(nodes))
+        left = np.flatnonzero(edge < last)
         while len(left):
             left = left[(u[left] > self.upto[edge[left]]) & (edge[left] < last[left])]
             edge[left] += 1
         return edge
 
 
+def utf8_size(letters: np.ndarray) -> np.ndarray:
+    return 1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000)
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] of them), then the same of each other stretch."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
 def _uniform(key: np.ndarray, kind: int, sample: int, at=0) -> np.ndarray:
     """Numbers in (0, 1) from row keys and what tells a draw apart: its kind, the sample's number and a place."""
     place = np.atleast_1d(at).astype(np.uint64) + np.uint64((kind << 56) + (sample << 44))
@@ -208,12 +286,12 @@ def _uniform(key: np.ndarray, kind: int, sample: int, at=0) -> np.ndarray:
 class Sampler:
     """All texts of a block: words, their shared lattices, and the search."""
 
-    def __init__(self, vocab: Vocabulary, texts: list[str], keys: np.ndarray):
-        self.vocab, self.keys, self.n = vocab, keys, len(texts)
+    def __init__(self, lattice: Lattice, texts: list[str], keys: np.ndarray):
+        self.lattice, self.keys, self.n = lattice, keys, len(texts)
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-        letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.int32)
-        sizes = np.array([len(m) for m in marked], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        text = "".join(marked)
+        letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(m) for m in marked])]).astype(np.int64)
         mark = letters == ord(SPACE)
         begin = np.zeros(len(letters) + 1, bool)
         begin[offsets] = True
@@ -223,15 +301,8 @@ class Sampler:
         self.word_at, self.doc_at = starts, offsets
         self.word_doc = np.searchsorted(offsets, starts, side="right") - 1
         self.first_word = np.searchsorted(starts, offsets)
-        # one lattice for each different word
-        text = "".join(marked)
-        seen: dict[str, int] = {}
-        which = np.array([seen.setdefault(text[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
-        words = list(seen)
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.int32)
-        bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
-        self.lattice = Lattice(vocab, flat, np.repeat(bounds[1:], np.diff(bounds)))
-        self.begin, self.close = bounds[which], bounds[which + 1]
+        self.begin = lattice.places([text[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+        self.close = self.begin + (stops - starts)
 
     def _walk(self, word: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges from ``node`` of each ``word`` (indices) to its end: (word, edge) in the text's order."""
@@ -257,132 +328,232 @@ class Sampler:
         out[order] = edge
         return np.repeat(word, counts), out
 
-    def sample(self, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
-        """For each text up to ``k`` (edges, log-probability, perturbed value), the largest perturbed first."""
-        lattice, out = self.lattice, [[] for _ in range(self.n)]
-        bound = -np.log(-np.log(_uniform(self.keys, 0, 0)))  # the root: total probability 1
+    def sample(self, k: int) -> Samples:
+        """Up to ``k`` ways through each text's lattice, those of the largest perturbed log-probability first."""
+        lattice, n = self.lattice, self.n
+        done = Samples()
+        sets = _OpenSets()
+        docs, bound = np.arange(n), -np.log(-np.log(_uniform(self.keys, 0, 0)))  # the root: total probability 1
+        # the way to take first: ``level`` edges from place ``source`` on, ``pick``, and what is drawn anew behind
+        source, level, pick = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        chosen = 0
         word, edge = self._walk(np.arange(len(self.word_at)), self.begin.copy(), 0)
-        docs = np.arange(self.n)
-        prefix: list[np.ndarray] = [np.zeros(0, np.int64)] * self.n
-        prefix_word: list[np.ndarray] = [np.zeros(0, np.int64)] * self.n
-        pending: list[list] = [[] for _ in range(self.n)]  # (bound, sample, level, log-mass, edges taken)
-        paths: list[list] = [[] for _ in range(self.n)]
         for s in range(k):
-            # levels drawn anew, by text
-            doc = self.word_doc[word]
-            cuts = np.searchsorted(doc, np.append(docs, self.n))
-            lp = lattice.logp[edge]
-            for t, d in enumerate(docs.tolist()):
-                a, b = cuts[t], cuts[t] + np.searchsorted(doc[cuts[t] : cuts[t + 1]], d, side="right")
-                new, new_word = edge[a:b], word[a:b]
-                own = np.concatenate([prefix[d], new])
-                own_word = np.concatenate([prefix_word[d], new_word])
-                before = float(lattice.logp[prefix[d]].sum())
-                total = before + float(lp[a:b].sum())
-                out[d].append((own, total, float(bound[d])))
-                paths[d].append((own, own_word))
-                if s + 1 < k and len(new):
-                    # one open set a level: all other choices there
-                    steps = np.arange(len(prefix[d]), len(own))
-                    base = before + np.concatenate([[0.0], np.cumsum(lp[a:b])[:-1]])
-                    other = -np.expm1(lp[a:b])
-                    several = (lattice.first[lattice.start[new] + 1] - lattice.first[lattice.start[new]] > 1) & (other > 1e-13)
-                    steps, mass = steps[several], base[several] + np.log(other[several])
-                    if len(steps):
-                        noise = -np.log(_uniform(self.keys[d], 2, s + 1, steps))
-                        g = mass - np.log(np.exp(np.minimum(mass - bound[d], 700.0)) + noise)
-                        pending[d].append((g, steps, s))
+            counts = np.bincount(self.word_doc[word], minlength=n)[docs]
+            head = level + chosen
+            size = head + counts
+            offset = np.concatenate([[0], np.cumsum(size)])
+            own, own_word = np.empty(offset[-1], np.int64), np.empty(offset[-1], np.int64)
+            tail = _ragged(offset[:-1] + head, counts)
+            own[tail], own_word[tail] = edge, word
+            if chosen:
+                to, old = _ragged(offset[:-1], level), _ragged(source, level)
+                own[to], own_word[to] = done.edge[old], done.word[old]
+                own[offset[:-1] + level], own_word[offset[:-1] + level] = pick, done.word[source + level]
+            lp = lattice.logp[own]
+            before, total = np.zeros(len(own)), np.zeros(len(docs))  # log-probability of what comes before, of all
+            for i, (a, b) in enumerate(zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)):
+                if a < b:  # each text by itself, so that its sums don't depend on its block
+                    upto = np.cumsum(lp[a:b])
+                    before[a + 1 : b], total[i] = upto[:-1], upto[-1]
+            place = done.add(s, docs, total, bound, own, own_word, before, offset)
             if s + 1 == k:
                 break
-            todo, go_word, go_node = [], [], []
-            for d in docs.tolist():
-                best = max(((float(p[0].max()), i) for i, p in enumerate(pending[d]) if len(p[0])), default=None)
-                if best is None:
-                    continue
-                g, steps, source = pending[d][best[1]][:3]
-                taken = pending[d][best[1]][3] if len(pending[d][best[1]]) > 3 else None
-                j = int(g.argmax())
-                level = int(steps[j])
-                path, path_word = paths[d][source]
-                used = [int(path[level])] if taken is None else taken
-                node = int(lattice.start[used[0]])
-                choices = np.array([e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in used])
-                p = np.exp(lattice.logp[choices])
-                u = float(_uniform(self.keys[d], 3, s + 1, level)[0])
-                pick = int(choices[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(choices) - 1)])
-                limit = float(g[j])
-                keep = np.arange(len(g)) != j
-                pending[d][best[1]] = (g[keep], steps[keep], source) if taken is None else (g[:0], steps[:0], source)
-                if len(choices) > 1:
-                    mass = float(lattice.logp[path[:level]].sum() + np.log(p[choices != pick].sum()))
-                    noise = float(-np.log(_uniform(self.keys[d], 4, s + 1, level)[0]))
-                    again = mass - np.log(np.exp(min(mass - limit, 700.0)) + noise)
-                    pending[d].append((np.array([again]), np.array([level]), source, [*used, pick]))
-                prefix[d], prefix_word[d] = np.append(path[:level], pick), np.append(path_word[:level], path_word[level])
-                bound[d] = limit
-                w, stop = int(path_word[level]), int(lattice.stop[pick])
-                todo.append(d)
-                rest = np.arange(w + 1, self.first_word[d + 1])
-                if stop < self.close[w]:
-                    go_word.append(np.concatenate([[w], rest]))
-                    go_node.append(np.concatenate([[stop], self.begin[rest]]))
-                else:
-                    go_word.append(rest)
-                    go_node.append(self.begin[rest])
-            docs = np.array(todo, np.int64)
+            # one open set a level that was drawn anew: all other choices there
+            mass = before[tail] + lattice.other[own[tail]]
+            which = np.repeat(np.arange(len(docs)), counts)
+            steps = _ragged(head, counts)
+            open_ = np.flatnonzero(mass > -np.inf)
+            mass, which, steps, at = mass[open_], which[open_], steps[open_], tail[open_]
+            noise = -np.log(_uniform(self.keys[docs[which]], 2, s + 1, steps))
+            sets.add(docs[which], _cut_off(mass, bound[which], noise), place + at, steps)
+            docs, bound, place, level, used = sets.best(n)
             if not len(docs):
                 break
-            word, edge = self._walk(np.concatenate(go_word).astype(np.int64), np.concatenate(go_node).astype(np.int64), s + 1)
-        return out
-
-    def ids(self, edges: np.ndarray, text: str) -> np.ndarray:
-        """Piece ids of a way through a text's lattice."""
-        found = self.lattice.id[edges]
-        if (found >= 0).all():
-            return found.astype("<u4")
-        marked, at, out = SPACE + text.replace(" ", SPACE), 0, []
-        for e, i in zip(edges.tolist(), found.tolist(), strict=True):
-            size = int(self.lattice.stop[e] - self.lattice.start[e])
-            out += [i] if i >= 0 else [self.vocab.bytes[b] for b in marked[at].encode("utf-8", "surrogatepass")]
-            at += size
-        return np.array(out, "<u4")
-
-
-_SAMPLE = pa.schema([("id", pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())])
-
-
-def _encode(path: str, k: int, alpha: float):
-    def block(vocab: Vocabulary, ids: list, keys: np.ndarray, texts: list[str]) -> pa.RecordBatch:
-        sampler = Sampler(vocab, texts, keys)
-        rows = []
-        for i, text, found in zip(ids, texts, sampler.sample(k + 1), strict=True):
-            limit = found[k][2] if len(found) > k else -np.inf
-            for s, (edges, lp, g) in enumerate(found[:k]):
-                inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(lp - limit, 700.0))))
-                rows.append((i, s, sampler.ids(edges, text).tobytes(), lp, g, inclusion))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SAMPLE, strict=True)], schema=_SAMPLE)
-
+            pick = self._pick(sets, done, docs, bound, place, level, used, s + 1)
+            source, chosen = place - level, 1
+            # behind the pick: the rest of its word, and all words after that
+            w, stop = done.word[place], lattice.stop[pick]
+            inner = stop < self.close[w]
+            from_ = np.where(inner, w, w + 1)
+            many = self.first_word[docs + 1] - from_
+            word = _ragged(from_, many)
+            node = self.begin[word]
+            node[(np.cumsum(many) - many)[inner]] = stop[inner]
+            word, edge = self._walk(word, node, s + 1)
+        return done
+
+    def _pick(self, sets: _OpenSets, done: Samples, docs: np.ndarray, bound: np.ndarray, place: np.ndarray, level: np.ndarray, used: list, sample: int) -> np.ndarray:
+        """A choice of each open set by probability; what else is in the set stays open."""
+        lattice, taken = self.lattice, done.edge[place]
+        node = lattice.start[taken]
+        first, many = lattice.first[node], lattice.first[node + 1] - lattice.first[node]
+        column = np.arange(many.max())
+        edges = first[:, None] + column
+        free = (column < many[:, None]) & (edges != taken[:, None])
+        for i, more in enumerate(used):
+            free[i, [e - first[i] for e in more]] = False
+        lp = np.where(free, lattice.logp[np.where(free, edges, 0)], -np.inf)
+        p = np.cumsum(np.exp(lp - lp.max(axis=1, keepdims=True)), axis=1)
+        u = _uniform(self.keys[docs], 3, sample, level)
+        at = np.minimum((p <= (u * p[:, -1])[:, None]).sum(axis=1), len(column) - 1 - free[:, ::-1].argmax(axis=1))
+        rows = np.arange(len(docs))
+        pick = edges[rows, at]
+        lp[rows, at] = -np.inf
+        left = np.flatnonzero(free.sum(axis=1) > 1)
+        if len(left):
+            top = lp[left].max(axis=1)
+            mass = done.before[place[left]] + top + np.log(np.exp(lp[left] - top[:, None]).sum(axis=1))
+            noise = -np.log(_uniform(self.keys[docs[left]], 4, sample, level[left]))
+            sets.add(docs[left], _cut_off(mass, bound[left], noise), place[left], level[left], [(*used[i], int(pick[i])) for i in left.tolist()])
+        return pick
+
+
+def _cut_off(mass: np.ndarray, bound: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The Gumbel of a set of log-probability ``mass``, cut off at ``bound``; ``noise`` is exponential."""
+    return mass - np.log(np.exp(np.minimum(mass - bound, 700.0)) + noise)
+
+
+class Samples:
+    """Ways found so far: row i has sample number[i] of doc[i], edges edge[start[i]:start[i] + size[i]]."""
+
+    def __init__(self) -> None:
+        whole = lambda: np.zeros(0, np.int64)
+        self.number, self.doc, self.start, self.size, self.edge, self.word = (whole() for _ in range(6))
+        self.total, self.bound, self.before = (np.zeros(0) for _ in range(3))
+
+    def add(self, number: int, doc: np.ndarray, total: np.ndarray, bound: np.ndarray, edge: np.ndarray, word: np.ndarray, before: np.ndarray, offset: np.ndarray) -> int:
+        place = len(self.edge)
+        new = {"number": np.full(len(doc), number), "doc": doc, "start": place + offset[:-1], "size": np.diff(offset), "total": total, "bound": bound, "edge": edge, "word": word, "before": before}
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        return place
+
+    def ordered(self) -> np.ndarray:
+        return np.lexsort((self.number, self.doc))
+
+    def edges(self, row: int) -> np.ndarray:
+        return self.edge[self.start[row] : self.start[row] + self.size[row]]
+
+
+class _OpenSets:
+    """Open sets of all documents: bound, place of the choice in the samples' edges, level; ``used``: choices taken besides."""
+
+    def __init__(self) -> None:
+        self.parts: list[list] = []
+
+    def add(self, doc: np.ndarray, g: np.ndarray, place: np.ndarray, level: np.ndarray, used: list | None = None) -> None:
+        if len(doc):
+            self.parts.append([doc, g, place, level, used])
+
+    def best(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """(doc, bound, place, level, used) of each document's set of the largest bound, which is taken out."""
+        top, part, where = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, np.int64)
+        for i, (doc, g, *_) in enumerate(self.parts):  # a part is sorted by document
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            most = np.maximum.reduceat(g, first)
+            at = np.flatnonzero(g == np.repeat(most, np.diff(first, append=len(doc))))
+            at = at[np.diff(doc[at], prepend=-1) > 0]
+            better = (g[at] > top[doc[at]]) & (g[at] > -np.inf)
+            at = at[better]
+            top[doc[at]], part[doc[at]], where[doc[at]] = g[at], i, at
+        docs = np.flatnonzero(part >= 0)
+        place, level, used = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), [()] * len(docs)
+        for i, (_, g, places, levels, taken) in enumerate(self.parts):
+            mine = np.flatnonzero(part[docs] == i)
+            at = where[docs[mine]]
+            place[mine], level[mine], g[at] = places[at], levels[at], -np.inf
+            if taken is not None:
+                for j, a in zip(mine.tolist(), at.tolist(), strict=True):
+                    used[j] = taken[a]
+        return docs, top[docs], place, level, used
+
+
+def piece_ids(lattice: Lattice, edges: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of ways laid end to end (``counts`` edges each), letters without a piece as bytes; and ids a way."""
+    out = lattice.id[edges]
+    raw = np.flatnonzero(out < 0)
+    if len(raw):
+        letter = lattice.letter[lattice.start[edges[raw]]]
+        size = np.ones(len(edges), np.int64)
+        size[raw] = wide = utf8_size(letter)
+        ends = np.cumsum(size)
+        out, at = np.repeat(out, size), ends[raw] - wide
+        for w in range(1, 5):
+            some = np.flatnonzero(wide == w)
+            for j in range(w):
+                bits = letter[some] >> 6 * (w - 1 - j)
+                byte = (bits & 0x3F | 0x80) if j else bits | (0, 0, 0xC0, 0xE0, 0xF0)[w]
+                out[at[some] + j] = lattice.vocab.byte_id[byte]
+        ways = np.concatenate([[0], np.cumsum(counts)])
+        counts = np.diff(np.concatenate([[0], ends])[ways])
+    return out.astype("<u4"), counts
+
+
+class Decoder:
+    """The text of piece ids (little-endian unsigned 32-bit bytes)."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.raw = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)]
+
+    def __call__(self, ids: bytes | memoryview) -> str:
+        text = b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+
+_COLUMNS = {"id": pa.int64(), "sample": pa.int32(), "ids": pa.binary(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64()}
+_DDL = "id long, sample int, ids binary, log_prob double, perturbed double, inclusion double"
+
+
+def _rows(sampler: Sampler, ids: pa.Array, k: int, decoder: Decoder | None = None) -> Iterator[pa.RecordBatch]:
+    """The samples of a block, in batches of about BATCH_EDGES edges."""
+    found = sampler.sample(k + 1)
+    limit = np.full(sampler.n, -np.inf)
+    over = found.number == k
+    limit[found.doc[over]] = found.bound[over]
+    order = found.ordered()
+    order = order[~over[order]]
+    part = np.cumsum(found.size[order]) // BATCH_EDGES
+    for rows in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+        if not len(rows):
+            continue
+        size = found.size[rows]
+        flat, size = piece_ids(sampler.lattice, found.edge[_ragged(found.start[rows], size)], size)
+        offsets = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+        doc, total = found.doc[rows], found.total[rows]
+        inclusion = -np.expm1(-np.exp(np.minimum(total - limit[doc], 700.0)))
+        columns = [ids.take(pa.array(doc)), pa.array(found.number[rows], pa.int32()), packed, pa.array(total), pa.array(found.bound[rows]), pa.array(inclusion)]
+        fields = list(_COLUMNS.items())
+        if decoder:
+            columns.append(pa.array([decoder(x.as_buffer()) for x in packed], pa.string()))
+            fields.append(("decoded", pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+
+
+def _encode(path: str, k: int, alpha: float, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, alpha)
+        lattice = Lattice(vocabulary(path, alpha))
+        decoder = Decoder(lattice.vocab) if decoded else None
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            ids, texts = batch.column("id"), [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             a = size = 0
             for b, t in enumerate(texts):
                 size += len(t)
                 if size >= BLOCK_CHARS or b + 1 == len(texts):
-                    yield block(vocab, ids[a : b + 1], keys[a : b + 1], texts[a : b + 1])
+                    yield from _rows(Sampler(lattice, texts[a : b + 1], keys[a : b + 1]), ids.slice(a, b + 1 - a), k, decoder)
                     a, size = b + 1, 0
 
     return task(run)
 
 
-def sample_encodings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 0) -> DataFrame:
+def sample_encodings(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, alpha: float = 1.0, seed: int = 0, decoded: bool = False) -> DataFrame:
     """Up to ``k`` different segmentations of each row: (``id_col``, sample, ids, log_prob, perturbed, inclusion).
 
     ``ids``: piece ids as little-endian unsigned 32-bit bytes; samples are numbered from the largest perturbed value.
     ``inclusion``: the probability that the segmentation is among the k, given the rest; 1 where there are no more.
+    ``decoded`` adds a column of that name: the text that decoding the ids gives.
 
     Defined cases: a null or empty text has one segmentation, without pieces; a text with fewer segmentations than k
     gives those; the noise comes from ``seed`` and the row's id, or its text where the id is null, so rows that share
@@ -391,25 +562,21 @@ def sample_encodings(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     keyed = rows.withColumn("key", F.xxhash64(F.lit(seed), F.coalesce(F.col("id"), F.xxhash64("text"))))
-    out = keyed.mapInArrow(_encode(path, k, alpha), "id long, sample int, ids binary, log_prob double, perturbed double, inclusion double")
+    out = keyed.mapInArrow(_encode(path, k, alpha, decoded), _DDL + ", decoded string" * decoded)
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(ids: Column, path: str) -> Column:
-    """The text of piece ids (bytes as above); bytes that aren't UTF-8 become U+FFFD."""
+    """The text of piece ids (bytes as above).
+
+    Defined cases: null gives null, no bytes an empty text; bytes that aren't UTF-8 become U+FFFD; a U+2581 of the
+    encoded text comes back as a space.
+    """
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab = vocabulary(path, 1.0)
-        raw = [bytes([vocab.byte_of[i]]) if i in vocab.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(vocab.pieces)]
-
-        def one(x: bytes | None) -> str | None:
-            if x is None:
-                return None
-            text = b"".join(map(raw.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace")
-            return text[1:] if text.startswith(" ") else text
-
+        decoder = Decoder(vocabulary(path, 1.0))
         for s in batches:
-            yield s.map(one)
+            yield s.map(lambda x: None if x is None else decoder(x))
 
     return run(ids)

@@ -36,10 +36,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sample_encodings(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    out = sample_encodings(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), k=2, decoded=True)
     return out.select(
         "doc_id", "sample", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         F.round("log_prob", 6).alias("log_prob"), F.round("inclusion", 9).alias("inclusion"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pamsieve.llm.lattice_sampling import SPACE, Sampler, decode, sample_encodings, vocabulary
+from pamsieve.llm.lattice_sampling import SPACE, Lattice, Sampler, Vocabulary, decode, piece_ids, sample_encodings, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["hello world", "", " ", "  two  spaces\n\ttab", "日本語 \U0001f9ff\x00", "é ﬁ▁x", "a" * 300, "x", None]
@@ -37,39 +37,65 @@ def segmentations(vocab, text):
     return {s: v - total for s, v in found.items()}
 
 
-def pieces(sampler, vocab, edges, text):
-    return tuple(vocab.pieces[i] for i in sampler.ids(edges, text))
+def ways(vocab, texts, keys, k):
+    """For each text [(pieces, log-probability, perturbed)], the largest perturbed first."""
+    sampler = Sampler(Lattice(vocab), texts, keys)
+    found, out = sampler.sample(k), [[] for _ in texts]
+    for row in found.ordered().tolist():
+        ids, _ = piece_ids(sampler.lattice, found.edges(row), found.size[row : row + 1])
+        out[found.doc[row]].append((tuple(vocab.pieces[i] for i in ids), found.total[row], found.bound[row]))
+    return out
 
 
 def test_samples_are_segmentations_with_their_probability():
     vocab = vocabulary(PATH, 1.0)
     for text in ("hello", "ab cd", "the end", "tion"):
         exact = segmentations(vocab, text)
-        sampler = Sampler(vocab, [text] * 50, np.arange(50).astype(np.uint64) * np.uint64(7919))
-        for found in sampler.sample(6):
-            names = [pieces(sampler, vocab, e, text) for e, _, _ in found]
+        for found in ways(vocab, [text] * 50, np.arange(50).astype(np.uint64) * np.uint64(7919), 6):
+            names = [s for s, _, _ in found]
             assert len(set(names)) == len(names) == min(6, len(exact))
-            assert all(abs(exact[s] - lp) < 1e-6 for s, (_, lp, _) in zip(names, found, strict=True))
+            assert all(abs(exact[s] - lp) < 1e-6 for s, lp, _ in found)
             assert all(a[2] >= b[2] for a, b in zip(found, found[1:], strict=False))
 
 
 def test_few_segmentations_are_all_found():
     vocab = vocabulary(PATH, 1.0)
     exact = segmentations(vocab, "ab")
-    for found in Sampler(vocab, ["ab"] * 20, np.arange(20).astype(np.uint64)).sample(50):
+    for found in ways(vocab, ["ab"] * 20, np.arange(20).astype(np.uint64), 50):
         assert len(found) == len(exact)
-    assert [len(x) for x in Sampler(vocab, [""], np.zeros(1, np.uint64)).sample(3)] == [1]
+    assert [len(x) for x in ways(vocab, [""], np.zeros(1, np.uint64), 3)] == [1]
+
+
+def test_segmentations_of_tiny_probability_are_found():
+    for alpha in (6.0, 60.0):  # all but one have probabilities far under 1e-13, or under the smallest double
+        vocab = Vocabulary(PATH, alpha)
+        exact = segmentations(vocab, "the")
+        for found in ways(vocab, ["the"] * 5, np.arange(5).astype(np.uint64), 50):
+            assert len({s for s, _, _ in found}) == len(found) == len(exact)
+            assert all(abs(exact[s] - lp) < 1e-6 * max(1.0, -lp) for s, lp, _ in found)
+
+
+def test_lattices_do_not_depend_on_what_else_is_held():
+    vocab, texts = vocabulary(PATH, 1.0), ["some words here", "and there", "wörds 日本 here", "x" * 50]
+    keys = np.arange(4).astype(np.uint64)
+    want = ways(vocab, texts, keys, 3)
+    small, found = Lattice(vocab, limit=20), []
+    for i in range(4):
+        sampler = Sampler(small, texts[i : i + 1], keys[i : i + 1])
+        got = sampler.sample(3)
+        assert [tuple(piece_ids(small, got.edges(r), got.size[r : r + 1])[0]) for r in got.ordered()] != [] and small.nodes <= max(20, len(texts[i]) + 1)
+        found.append([(got.total[r], got.bound[r]) for r in got.ordered()])
+    assert found == [[(lp, g) for _, lp, g in w] for w in want]
 
 
 def test_frequencies_are_those_of_sampling_without_replacement():
     vocab, text, n = vocabulary(PATH, 0.5), "ab c", 6000
     p = {s: math.exp(v) for s, v in segmentations(vocab, text).items()}
     rng = np.random.default_rng(4)
-    sampler = Sampler(vocab, [text] * n, rng.integers(0, 1 << 63, n, dtype=np.uint64))
     first, second, third = Counter(), Counter(), Counter()
-    for found in sampler.sample(3):
-        for count, (edges, _, _) in zip((first, second, third), found, strict=True):
-            count[pieces(sampler, vocab, edges, text)] += 1
+    for found in ways(vocab, [text] * n, rng.integers(0, 1 << 63, n, dtype=np.uint64), 3):
+        for count, (names, _, _) in zip((first, second, third), found, strict=True):
+            count[names] += 1
     two = {b: sum(p[a] * p[b] / (1 - p[a]) for a in p if a != b) for b in p}
     three = {c: sum(p[a] * p[b] / (1 - p[a]) * p[c] / (1 - p[a] - p[b]) for a in p for b in p if len({a, b, c}) == 3) for c in p}
     for got, want in ((first, p), (second, two), (third, three)):
@@ -93,9 +119,9 @@ def test_round_trip_and_seeds(spark):
     rng = random.Random(3)
     texts = TEXTS + ["".join(rng.choices("abc éß日\U0001f600 \n", k=rng.randint(1, 80))) for _ in range(60)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, sample int, key string")
-    a = sample_encodings(df.repartition(1), PATH, k=3).withColumn("again", decode(F.col("ids"), PATH)).collect()
+    a = sample_encodings(df.repartition(1), PATH, k=3, decoded=True).withColumn("again", decode(F.col("ids"), PATH)).collect()
     for r in a:
-        assert r.again == (texts[r.doc_id] or "").replace(SPACE, " ")
+        assert r.again == r.decoded == (texts[r.doc_id] or "").replace(SPACE, " ")
     by = Counter(r.doc_id for r in a)
     assert set(by) == set(range(len(texts))) and by[1] == by[8] == 1 and max(by.values()) == 3
     b = sample_encodings(df.repartition(7), PATH, k=3).collect()
@@ -112,3 +138,10 @@ def test_null_and_repeated_ids(spark):
     assert Counter(Counter(same).values()) == Counter({2: 2})
     assert sample_encodings(df.limit(0), PATH).collect() == []
     assert spark.createDataFrame([(None,)], "x binary").select(decode(F.col("x"), PATH)).first()[0] is None
+
+
+def test_very_long_texts(spark):
+    texts = ["long words and short ones \n\t" * 20_000, "a" * 100_000, "\n" * 50_000, " " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sample_encodings(df, PATH, k=2).withColumn("again", decode(F.col("ids"), PATH)).collect()
+    assert {(r.doc_id, r.sample): r.again for r in rows} == {(i, s): texts[i] for i in range(4) for s in range(2) if (i, s) != (2, 1)}

@@ -84,6 +84,9 @@ class Ids:
         self.ranked = _loaded["ranked", path]
 
     def __call__(self, text: str) -> bytes:
-        if self.ranked is None or _BEYOND.search(text):
-            return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        if self.ranked is not None and not _BEYOND.search(text):
+            try:
+                return self.ranked.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:  # its splitting gives up on runs of about a million white-space characters
+                pass
+        return np.array(tokenizer(self.path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -274,11 +274,19 @@ class _Verifier:
         return links
 
 
+def row_key(id_col: str | Column, text_col: str | Column) -> Column:
+    """A hash of a row's id (long) and text (null as empty)."""
+    return F.xxhash64(id_col, text_col)
+
+
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_counters: int = 1 << 20, filter_bits: int = 1 << 26
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, max_counters: int = 1 << 20, filter_bits: int = 1 << 26, row_keys: bool = False
 ) -> DataFrame:
     """(``id_col``, n_shingles, component_id) of each row; rows link when their sets' Jaccard similarity is percent/100 or more.
 
+    ``row_keys`` adds row_key, a hash of id and text by which rows that share an id are told apart, and component_row,
+    that of the component's first row: smallest id, then key.
+
     Words are lower-cased (A-Z) runs of anything but space and 0x09-0x0D; a text of fewer words than ``shingle`` has
     its whole sequence as its one shingle.  component_id is the smallest id reachable by links.
 
@@ -288,7 +296,7 @@ def ngram_jaccard_join(
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    rows = rows.withColumn("row", row_key("id", "text"))
     size = input_bytes(docs)
     width = power_of_two(size / 128, 1 << 12, max_counters)
     bits = power_of_two(size / 64, 1 << 15, filter_bits)
@@ -299,7 +307,7 @@ def ngram_jaccard_join(
     floor = float(2.0 ** (np.median(levels) / _LOG)) if len(levels) else 1.0
     sketch = sc.broadcast(levels)
     linkable = texts.where("c is not null and id is not null")
-    classes = cut(linkable.groupBy("c").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in SIG)), "classes")
+    classes = cut(linkable.groupBy("c").agg(F.min(F.struct("id", "row")).alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), *(F.min(s).alias(s) for s in SIG)), "classes")
 
     index = rows.where("id is not null").select("text").mapInArrow(_index(shingle, width, percent, floor, sketch), "token long, c binary, info long")
     bucket = Window.partitionBy("token")
@@ -355,9 +363,11 @@ def ngram_jaccard_join(
     labels = components(links if links is not None else rest)
 
     named = classes.select("c", "first").join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    result = cut(named.join(smallest, "label").select("c", "component_id"), "components")
+    smallest = named.groupBy("label").agg(F.min("first").alias("top"))
+    result = cut(named.join(smallest, "label").select("c", "top"), "components")
     discard(classes)
-    out = texts.select("id", "n", "c").join(result, "c", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = texts.select("id", "row", "n", "c").join(result, "c", "left")
+    of_some = F.col("id").isNotNull()
+    keys = [F.col("row").alias("row_key"), F.when(of_some, F.coalesce("top.row", "row")).alias("component_row")]
+    component = F.when(of_some, F.coalesce("top.id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), *(keys if row_keys else []))

@@ -7,9 +7,14 @@ sketch (counters saturate at two) and emits its touched counters in chunks of 65
 The merged sketch, one bit a counter for "at least two", is broadcast: at most ``max_counters`` bits a row.  When the
 corpus outgrows it, it rules out less and the second pass shuffles more, but nothing is lost.
 
-Pass 2 scans again and emits (96 hash bits, doc, position) of those windows only whose estimate is two or more.  One
-shuffle brings equal windows together; all but those of the smallest doc are marked.  Marks are gathered per doc.  A
-Bloom filter of the docs with marks then lets all other texts stay where they are; only marked texts are shuffled.
+Pass 2 scans again and keeps (96 hash bits, doc, position) of those windows only whose estimate is two or more.  A task
+compares its own first: a window that a smaller doc of the same LOCAL windows has too is marked at once, so a passage
+that a third of all docs share costs a few rows a task, not one a doc.  One shuffle brings the rest of equal windows
+together; all but those of the smallest doc are marked.  (96 bits: at 10^13 windows, all of 100 TB of text, chance makes
+about one pair of different windows equal in a thousand such corpora.)  Marks are gathered per doc.  A bitmap of the docs
+with marks parts the input: texts that have none are finished where they are read, only the others are shuffled.
+
+A text is never cut; a task holds about 35 bytes for each byte of its longest text.
 """
 
 from __future__ import annotations
@@ -19,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ._io import bloom, bloom_position, cut, input_bytes, power_of_two
-from ._text import Words, blocks, signed, task
+from ._filter import MAYBE, may_be_in, packed, unpacked
+from ._io import cut, input_bytes, power_of_two
+from ._text import Words, blocks, mix, signed, task
 
 SHINGLE = 7
 CHUNK = 1 << 16
 FLUSH = 1 << 20
+LOCAL = 1 << 19
 KEY_MASK = 0x7FFFFFFF
 _CHUNKS = "chunk int, once binary, twice binary"
 _WINDOWS = "h1 long, h2 int, id long, at long"
@@ -112,9 +119,24 @@ def count_min_sketch(texts: DataFrame, width: int, window: int = 13, shingle: in
     return out
 
 
+def _compared(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Windows as rows; those that a smaller id has among them too have no ``h2`` and anything as ``h1``."""
+    order = np.argsort(h1)
+    h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
+    new = np.ones(len(h1), bool)
+    new[1:] = h1[1:] != h1[:-1]
+    first = np.flatnonzero(new)
+    many = np.diff(first, append=len(h1))
+    one_key = np.minimum.reduceat(h2, first) == np.maximum.reduceat(h2, first)
+    sure = (ids > np.repeat(np.minimum.reduceat(ids, first), many)) & np.repeat(one_key, many)
+    spread = np.where(sure, mix(at.view(np.uint64) ^ mix(ids.view(np.uint64))), h1)
+    return pa.RecordBatch.from_arrays([pa.array(signed(spread)), pa.array(h2, mask=sure), pa.array(ids), pa.array(at)], ["h1", "h2", "id", "at"])
+
+
 def _repeated(width: int, window: int, shingle: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sketch.value
+        found, held = [], 0
 
         def twice(at: np.ndarray) -> np.ndarray:
             return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -138,69 +160,52 @@ def _repeated(width: int, window: int, shingle: int, sketch):
                 if not len(where):
                     continue
                 h1 = words.windows(window, words.hashes(0), 0)[where]
-                h2 = words.windows(window, words.hashes(1), 1)[where]
+                h2 = (words.windows(window, words.hashes(1), 1)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 doc = words.doc[where]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(h1)),
-                        pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(ids[i + doc]),
-                        pa.array((keys[i + doc] << 32) | (where - words.first_word[doc])),
-                    ],
-                    ["h1", "h2", "id", "at"],
-                )
+                found.append((h1, h2, ids[i + doc], (keys[i + doc] << 32) | (where - words.first_word[doc])))
+                held += len(where)
+                if held >= LOCAL:
+                    yield _compared(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                    found, held = [], 0
+        if held:
+            yield _compared(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return task(run)
 
 
-def _finish(window: int, whole: bool, bits: int | None, sketch):
-    """Without marks at hand (``bits`` given): what a filter rules out is done, the rest passes with its text."""
+def _finish(window: int, whole: bool):
+    """Texts without the words that their marks, if there are any, cover."""
 
-    def marked(words: Words, i: int, key: int, marks) -> np.ndarray:
+    def marked(words: Words, i: int, key: int, marks: np.ndarray) -> np.ndarray:
         n = int(words.counts[i])
         edge = np.zeros(n + 1, np.int32)
-        if marks is not None:
-            m = np.asarray(marks, np.int64)
-            at = np.unique(m[(m >> 32) == (key & KEY_MASK)] & 0xFFFFFFFF)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, np.minimum(at + window, n), -1)
+        m = np.asarray(marks, np.int64)
+        at = np.unique(m[(m >> 32) == (key & KEY_MASK)] & 0xFFFFFFFF)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(at + window, n), -1)
         return np.cumsum(edge)[:n] > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sketch.value if sketch is not None else None
         for batch in batches:
-            text, key = batch.column("text"), batch.column("key").to_pylist()
-            marks = None if bits else batch.column("marks")
-            at = batch.column("bit").to_numpy(zero_copy_only=False) - 1 if bits else None
-            maybe = (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1 if bits else None
+            text = batch.column("text")
+            marks = batch.column("marks") if "marks" in batch.schema.names else None
+            key = batch.column("key").to_pylist() if marks is not None else None
             for i, j, words in blocks(text):
-                n_words, n_removed, kept, left = [], [], [], []
+                n_removed, kept = [], []
                 for r in range(i, j):
-                    if bits and maybe[r]:
-                        n_words.append(None)
-                        n_removed.append(None)
-                        kept.append(None)
-                        left.append(text[r].as_py())
-                        continue
                     gone = None
-                    if not bits and marks[r].is_valid:
+                    if marks is not None and marks[r].is_valid:
                         gone = marked(words, r - i, key[r], marks[r].values.to_numpy(zero_copy_only=False))
                     lost = 0 if gone is None else int(gone.sum())
-                    n_words.append(int(words.counts[r - i]))
                     n_removed.append(lost)
                     kept.append(text[r].as_py() if whole and not lost else words.joined(r - i, ~gone if lost else None).decode())
-                    left.append(None)
                 part = batch.slice(i, j - i)
-                columns = [part.column("id"), part.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(left, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, part.column("rest")], [*_STATE, "rest"])
+                columns = [part.column("id"), pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), part.column("rest")]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept", "rest"])
 
     return task(run)
 
 
-_STATE = ["id", "key", "n_words", "n_removed", "kept", "text"]
-_STATE_DDL = "id long, key long, n_words long, n_removed long, kept string, text string, rest "
-
-
 def repeated_windows(docs: DataFrame, window: int = 13, shingle: int = SHINGLE, max_counters: int = 1 << 27) -> DataFrame:
     """(id, at): windows of ``docs`` (id, key, text) that a smaller id has too; ``at`` is 31 bits of key, 32 of the first word."""
     spark = docs.sparkSession.sparkContext
@@ -209,7 +214,7 @@ def repeated_windows(docs: DataFrame, window: int = 13, shingle: int = SHINGLE,
     sketch = spark.broadcast(count_min_sketch(docs, width, window, shingle))
     found = docs.where("id is not null").select("id", "key", "text").mapInArrow(_repeated(width, window, shingle, sketch), _WINDOWS)
     same = Window.partitionBy("h1", "h2")
-    return found.withColumn("first", F.min("id").over(same)).where("id > first").select("id", "at")
+    return found.withColumn("first", F.min("id").over(same)).where("h2 is null or id > first").select("id", "at")
 
 
 def substring_dedup(
@@ -232,28 +237,17 @@ def substring_dedup(
     stays whole and is nobody's source; rows with one id are judged each by its own text and do not remove each
     other's passages; equal rows get equal results; an empty table gives an empty result; other columns are ignored.
     """
-    rest = F.struct(F.lit(0).alias("_"), *(keep or [])).alias("rest")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest)
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    sc = docs.sparkSession.sparkContext
+    keep = keep or []
+    if clash := {"n_words", "n_removed", "kept_text", id_col} & set(keep):
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), packed(keep).alias("rest")
+    ).withColumn("key", F.xxhash64("id", "text"))
     marks = cut(repeated_windows(rows, window, max_counters=max_counters).groupBy("id").agg(F.collect_list("at").alias("marks")), "marks")
-    bits = power_of_two(input_bytes(docs) / 64, 1 << 15, filter_bits)
-    held = sc.broadcast(np.frombuffer(bytes(bloom(marks, F.col("id"), bits)), np.uint8))
-    schema = _STATE_DDL + rows.schema["rest"].dataType.simpleString()
-    state = rows.withColumn("bit", bloom_position(F.coalesce("id", F.lit(-1)), bits)).mapInArrow(_finish(window, whole, bits, held), schema)
-    settled = state.join(marks, "id", "left").mapInArrow(_settle(window, whole), schema)
-    return settled.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"), *(F.col(f"rest.{c}") for c in keep or []))
-
-
-def _settle(window: int, whole: bool):
-    """Pass on the rows that are done; work out the others from their text and marks."""
-    finish = _finish(window, whole, None, None)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            open_rows = batch.column("text").is_valid()
-            yield batch.filter(pa.compute.invert(open_rows)).select([*_STATE, "rest"])
-            if (left := batch.filter(open_rows)).num_rows:
-                yield from finish(iter([left]))
-
-    return run
+    told = may_be_in(rows, marks, "id", power_of_two(input_bytes(docs) / 64, 1 << 15, filter_bits))
+    schema = StructType().add("id", "long").add("n_words", "long").add("n_removed", "long").add("kept", "string").add(rows.schema["rest"])
+    finish = _finish(window, whole)
+    unmarked = told.where(f"id is null or not {MAYBE}").select("id", "text", "rest").mapInArrow(finish, schema)
+    marked = told.where(f"id is not null and {MAYBE}").select("id", "key", "text", "rest").join(marks, "id", "left").mapInArrow(finish, schema)
+    out = unmarked.unionByName(marked)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").alias("kept_text"), *unpacked("rest", keep))

@@ -60,3 +60,13 @@ def test_defined_cases(spark):
 def test_digest_of_kept_words(spark):
     rows = [(1, "x  y\nz")]
     assert hashlib.sha256(run(spark, rows)[0][3].encode()).hexdigest() == hashlib.sha256(b"x y z").hexdigest()
+
+
+def test_passages_that_most_texts_share(spark):
+    """Tasks mark what they see twice themselves; nothing changes for what they see once."""
+    rng = random.Random(9)
+    passage = " ".join(rng.choices("abcdefghij", k=30))
+    rows = [(rng.randint(0, 300), passage + " " + " ".join(rng.choices("klmnop", k=20))) for _ in range(200)] + [(400, passage * 3)]
+    assert run(spark, rows, 13) == brute(rows, 13)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert sorted(map(tuple, substring_dedup(df, window=13).collect()), key=repr) == brute(rows, 13)

@@ -8,8 +8,9 @@ all else works on that narrow table with grouped aggregates over all pages.
 Text-only posteriors are soft counts.  Summed by declared language, and by address suffix, they give
 P(declared | language) and P(suffix | language), smoothed.  Summed by host and domain they give the host's prior,
 shrunk to its domain's, which is shrunk to the whole corpus; a page's own count is taken out of its host's and
-domain's first, so that it isn't used twice.  Sums have a row a key and task before the shuffle, so a host with a
-third of all pages costs no more than others.
+domain's first, so that it isn't used twice.  Sums have a row a key and task before the shuffle.  They are joined back
+by broadcast while they are small; beyond that adaptive execution splits a host that holds a third of all pages, as only
+the narrow evidence is on its side.
 """
 
 from __future__ import annotations
@@ -19,23 +20,65 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import cut
 from ._text import task
 
 BINS = 1 << 15
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
-_META = re.compile(r"(?is)<meta\b[^>]*?http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+UNDETERMINED = "und"
+_NAME = re.compile(rb"(/?)([a-z][a-z0-9]*)")
+_UNSEEN = {b"script", b"style", b"noscript", b"template"}
+_LANG = re.compile(rb"\blang\s*=\s*(?:[\"']\s*)?([a-z]{2,3})\b")
+_EQUIV = re.compile(rb"http-equiv\s*=\s*[\"']?content-language\b")
+_CONTENT = re.compile(rb"\bcontent\s*=\s*(?:[\"']\s*)?([a-z]{2,3})\b")
 _HOST = re.compile(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.IGNORECASE)
+_SECOND = {"ac", "co", "com", "edu", "gov", "net", "org"}  # registries under a country's suffix
+
+
+def parse(page: str | None) -> tuple[str, str]:
+    """(text without markup, scripts and styles; declared language or empty) of a page, in one pass.
+
+    What is searched in vain isn't searched again, so the time is in proportion to the page's length, whatever it holds.
+    """
+    data = (page or "").encode("utf-8", "surrogatepass")
+    low, parts, at = data.lower(), [], 0
+    of_html, of_meta, missing = None, None, set()
+
+    def find(what: bytes, start: int) -> int:
+        found = -1 if what in missing else low.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (tag := find(b"<", at)) >= 0:
+        parts.append(data[at:tag])
+        if low.startswith(b"<!--", tag) and (end := find(b"-->", tag + 4)) >= 0:
+            at = end + 3
+        elif (end := find(b">", tag)) >= 0:
+            at, name = end + 1, _NAME.match(low, tag + 1)
+            name = name[2] if name and not name[1] else b""
+            if name == b"html":
+                of_html = of_html or _LANG.search(low, tag, end)
+            elif name == b"meta" and _EQUIV.search(low, tag, end):
+                of_meta = of_meta or _CONTENT.search(low, tag, end)
+            elif name in _UNSEEN and (close := find(b"</" + name, at)) >= 0:
+                at = find(b">", close) + 1 or len(data)
+        else:
+            at = tag
+            break
+        parts.append(b" ")
+    parts.append(data[at:])
+    found = of_html or of_meta
+    return html.unescape(b"".join(parts).decode("utf-8", "surrogatepass")), found[1].decode() if found else ""
 
 
 def visible(page: str | None) -> str:
     """The text of a page without markup, scripts and styles."""
-    return html.unescape(_HIDDEN.sub(" ", page or ""))
+    return parse(page)[0]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -61,28 +104,54 @@ class TextModel:
         return self.table[at].sum(axis=0, dtype=np.float64) * min(1.0, self.effective / len(at))
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_labelled: int = 2000, max_chars: int = 2000, effective: float = 48.0) -> TextModel:
-    """Fit on at most ``max_labelled`` different rows, those of the smallest hash, and at most ``max_chars`` characters of each."""
-    given = labelled.select(F.substring(F.col(text_col), 1, max_chars).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    given = given.withColumn("draw", F.xxhash64("text", "lang"))
-    # the draws come to the driver first, eight bytes each; texts only of the rows drawn
-    last = given.select("draw").distinct().orderBy("draw").limit(max_labelled).agg(F.max("draw")).first()[0]
-    rows = given.where(F.col("draw") <= F.lit(last)).dropDuplicates(["draw"]).collect() if last is not None else []
-    languages = sorted({r["lang"] for r in rows})
-    if not languages:
-        raise ValueError("no labelled rows to train from")
-    counts = np.full((BINS, len(languages)), 0.1)
-    for r in rows:
-        np.add.at(counts[:, languages.index(r["lang"])], trigrams(r["text"]), 1)
-    return TextModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), effective)
+def _bin_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            at, n = np.unique(trigrams(text.as_py()), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "bin", "n"])
+
+
+def _column(pdf: pd.DataFrame) -> pd.DataFrame:
+    counts = np.zeros(BINS, np.int64)
+    counts[pdf["bin"]] = pdf["n"]
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [counts.tobytes()]})
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_a_language: int = 500, max_languages: int = 256, effective: float = 48.0) -> TextModel:
+    """Fit on whole texts: at most ``max_a_language`` different labelled rows of each language, those of the smallest hash.
+
+    So a rare language is drawn as fully as a common one.  At most ``max_languages`` are told apart, those with the most
+    rows.  Texts are counted where they lie; the driver gets BINS counts a language.
+
+    Defined cases: rows without a text or language are left out; without any labelled row the model knows one language,
+    "und"; a language whose texts have no letters is known by its prior alone.
+    """
+    given = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    sizes = given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    languages = sorted(r["lang"] for r in sizes)
+    counts = {}
+    if languages:
+        # rows under a bound on the hash that lets somewhat more than wanted through; the rest by rank, among those few
+        share = [(r["lang"], min(1.0, (1.2 * max_a_language + 50) / r["count"])) for r in sizes]
+        bounds = labelled.sparkSession.createDataFrame(share, "lang string, share double")
+        drawn = given.join(F.broadcast(bounds), "lang").withColumn("draw", F.xxhash64("text", "lang"))
+        drawn = drawn.where(F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53) < F.col("share")).dropDuplicates(["lang", "draw"])
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+        drawn = drawn.withColumn("rank", rank).where(F.col("rank") <= max_a_language)
+        found = drawn.select("lang", "text").mapInArrow(task(_bin_counts), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+        counts = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in found.groupBy("lang").applyInPandas(_column, "lang string, counts binary").collect()}
+    languages = languages or [UNDETERMINED]
+    table = np.stack([counts.get(x, np.zeros(BINS, np.int64)) for x in languages], axis=1) + 0.1
+    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32), effective)
 
 
 def address(url: str | None) -> tuple[str, str, str]:
-    """(host, domain, suffix) of an address; empty where it has none."""
+    """(host, domain, suffix) of an address; empty where it has none.  The domain is what a registry gives: a.com, a.co.uk."""
     m = _HOST.match(url or "")
     host = m[1].lower().rstrip(".") if m else ""
     parts = host.split(".")
-    return host, ".".join(parts[-2:]), parts[-1] if m else ""
+    labels = 3 if len(parts) > 2 and len(parts[-1]) == 2 and parts[-2] in _SECOND else 2
+    return host, ".".join(parts[-labels:]), parts[-1] if m else ""
 
 
 def _evidence(model):
@@ -91,10 +160,9 @@ def _evidence(model):
         for batch in batches:
             likelihoods, rest = [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html"), strict=True):
-                page = page.as_py()
-                likelihoods.append(held.log_likelihood(visible(page)))
-                m = _DECLARED.search(page or "") or _META.search(page or "")
-                rest.append((*address(url), m[1].lower() if m else ""))
+                text, declared = parse(page.as_py())
+                likelihoods.append(held.log_likelihood(text))
+                rest.append((*address(url), declared))
             table = np.array(likelihoods).reshape(-1, len(held.languages))
             columns = list(zip(*rest, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(

@@ -49,7 +49,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = language_id.train(_docs(spark, sf_dir), max_labelled=2000)
+    model = language_id.train(_docs(spark, sf_dir), max_a_language=500)
     out = language_id.identify_languages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model)
     return out.select("page_id", "lang", F.round("confidence", 9).alias("confidence"))
 
@@ -165,22 +165,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 
-OP10_SQL = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said FROM conversations),
-p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
+ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+OP10_SQL = f"""
+WITH t AS (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, 'unknown') AS who, coalesce(text, '') AS said
+  FROM conversations
+),
+p AS (SELECT DISTINCT conv_id, own, who AS perspective FROM t WHERE who <> 'system'),
 s AS (
-  SELECT t.conv_id, perspective, CAST(coalesce(floor(turn / 256), -1) AS BIGINT) AS block, turn, who, said,
-         '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = perspective THEN 'assistant' ELSE 'user name=' || who END || chr(10) AS head,
-         said || '<|im_end|>' AS body
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  SELECT t.conv_id, t.own, perspective, turn, who, said,
+         '<|im_start|>' || CASE WHEN who = 'system' THEN 'system' WHEN who = perspective THEN 'assistant'
+           ELSE 'user name=' || {ESCAPED.format("translate(who, chr(10) || chr(13), '  ')")} END || chr(10) AS head,
+         {ESCAPED.format("said")} || '<|im_end|>' AS body
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.own IS NOT DISTINCT FROM p.own
 ),
 o AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY turn, who, said ROWS UNBOUNDED PRECEDING) - 1 AS e
-  FROM s
+  SELECT *, sum(length(head) + length(body) + 1) OVER w - 1 AS e, row_number() OVER w AS k
+  FROM s WINDOW w AS (PARTITION BY conv_id, own, perspective ORDER BY turn NULLS FIRST, who, said ROWS UNBOUNDED PRECEDING)
 )
-SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn, who, said) AS rendered,
-       coalesce(string_agg(CASE WHEN who = perspective THEN concat(CAST(e - length(body) AS BIGINT), '-', CAST(e AS BIGINT)) END, ',' ORDER BY turn, who, said), '') AS mask
-FROM o GROUP BY conv_id, perspective, block
+SELECT conv_id, perspective, CAST(0 AS BIGINT) AS block, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS rendered,
+       coalesce(string_agg(CASE WHEN who = perspective THEN concat(CAST(e - length(body) AS BIGINT), '-', CAST(e AS BIGINT)) END, ',' ORDER BY k), '') AS mask
+FROM o GROUP BY conv_id, own, perspective
 """
 
 QUERIES = {

@@ -122,13 +122,14 @@ def count_min_sketch(texts: DataFrame, width: int, window: int = 13, shingle: in
 def _compared(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Windows as rows; those that a smaller id has among them too have no ``h2`` and anything as ``h1``."""
     order = np.argsort(h1)
-    h1, h2, ids, at = h1[order], h2[order], ids[order], at[order]
+    sorted_, sorted_h2, sorted_ids = h1[order], h2[order], ids[order]
     new = np.ones(len(h1), bool)
-    new[1:] = h1[1:] != h1[:-1]
+    new[1:] = sorted_[1:] != sorted_[:-1]
     first = np.flatnonzero(new)
     many = np.diff(first, append=len(h1))
-    one_key = np.minimum.reduceat(h2, first) == np.maximum.reduceat(h2, first)
-    sure = (ids > np.repeat(np.minimum.reduceat(ids, first), many)) & np.repeat(one_key, many)
+    one_key = np.minimum.reduceat(sorted_h2, first) == np.maximum.reduceat(sorted_h2, first)
+    sure = np.empty(len(h1), bool)  # rows stay in the order of the texts, which is good for compression
+    sure[order] = (sorted_ids > np.repeat(np.minimum.reduceat(sorted_ids, first), many)) & np.repeat(one_key, many)
     spread = np.where(sure, mix(at.view(np.uint64) ^ mix(ids.view(np.uint64))), h1)
     return pa.RecordBatch.from_arrays([pa.array(signed(spread)), pa.array(h2, mask=sure), pa.array(ids), pa.array(at)], ["h1", "h2", "id", "at"])
 

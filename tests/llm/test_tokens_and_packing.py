@@ -57,6 +57,12 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_of_runs_that_the_faster_library_cannot_split():
+    tok, ids = Tokenizer.from_file(BYTE), Ids(BYTE)
+    for t in (" " * 2_000_000, "a" + "\n" * 1_000_000 + "b", "\t " * 600_000):
+        assert np.frombuffer(ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def check_packing(pieces, docs, capacity, end_id):
     tok = Tokenizer.from_file(BYTE)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

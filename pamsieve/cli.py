@@ -106,7 +106,7 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
         found = variants.variant_sites(read_vcf(spark, args.vcf), contigs, m, not args.no_variant_overlaps)
         persistence.save_sites(found, args.output, m, args.prefix_length, name=args.name, **about)
         return
-    found = si.sites(contigs, m)
+    found = si.sites(contigs, m, deal=4 * spark.sparkContext.defaultParallelism)
     if args.kind in ("hashDB", "dictDB"):
         counts = est.site_counts(found, args.max_count if args.kind == "hashDB" else None)
         persistence.save(counts, args.output, m, args.name, max_count=args.max_count, **about)

@@ -1,7 +1,8 @@
 """Sites: every place where a motif's PAM fits, as oriented strings.
 
-Contigs are cut into tiles with enough context on both sides, so that one very long contig is scanned by many tasks.
-Tiles are scanned in Arrow batches with array operations; a window is kept if every letter is compatible with the
+Contigs are cut into tiles with enough context on both sides.  A genome of few long contigs is dealt out by tile
+(``deal``), so that one contig is scanned by many tasks; many short contigs are scanned where they are read, without a
+shuffle.  Tiles are scanned in Arrow batches with array operations; a window is kept if every letter is compatible with the
 motif and at most ``ambig_max`` letters of it are ambiguous.  All sites read from the letter next to the PAM outwards,
 guide part first and ``distance`` letters of extension last, padded with '-' at a contig's ends.
 """
@@ -27,10 +28,11 @@ _COMPLEMENT = np.arange(256, dtype=np.uint8)
 _COMPLEMENT[list(COMPLEMENT_FROM.encode())] = list(COMPLEMENT_TO.encode())
 
 
-def tiles(contigs: DataFrame, context: int, size: int = TILE) -> DataFrame:
+def tiles(contigs: DataFrame, context: int, size: int = TILE, deal: int | None = None) -> DataFrame:
     """(chrom, n, lo, hi, at, lead, tile): slices of ``size`` letters from ``at`` (0-based) and ``context`` letters on both sides.
 
     ``lead`` letters of the tile stand before ``at``; lo and hi are the 1-based first and last letters that aren't N.
+    With ``deal`` tiles are dealt to so many tasks, else they stay with their contig.
     """
     chunks = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     cut = contigs.withColumn("lo", F.char_length("seq") - F.char_length(F.ltrim("seq", F.lit("N"))) + 1).withColumn("hi", F.char_length(F.rtrim("seq", F.lit("N"))))
@@ -39,7 +41,8 @@ def tiles(contigs: DataFrame, context: int, size: int = TILE) -> DataFrame:
     if context > size:
         raise ValueError("tiles must be longer than their context")
     lead, tail = F.right(near(-1), F.lit(context)), F.left(near(1), F.lit(context))
-    return cut.select("chrom", "n", "lo", "hi", (F.col("k") * F.lit(size)).cast("long").alias("at"), F.char_length(lead).alias("lead"), F.concat(lead, "chunk", tail).alias("tile"), F.char_length("chunk").alias("size"))
+    out = cut.select("chrom", "n", "lo", "hi", (F.col("k") * F.lit(size)).cast("long").alias("at"), F.char_length(lead).alias("lead"), F.concat(lead, "chunk", tail).alias("tile"), F.char_length("chunk").alias("size"))
+    return out.repartition(deal, "chrom", "at") if deal else out
 
 
 def _fit(data: np.ndarray, pattern: str, ambig_max: int) -> np.ndarray:
@@ -119,13 +122,13 @@ def scan(tiled: DataFrame, motif: Motif, whole: bool = False) -> DataFrame:
     return tiled.mapInArrow(run, "chrom string, start long, strand string, site string")
 
 
-def sites(contigs: DataFrame, motif: Motif, tile: int = TILE) -> DataFrame:
-    """(chrom, start, strand, site, is_ambig): all sites of both strands.
+def sites(contigs: DataFrame, motif: Motif, tile: int = TILE, deal: int | None = None) -> DataFrame:
+    """(chrom, start, strand, site, is_ambig): all sites of both strands; ``deal`` as for ``tiles``.
 
     ``start`` is the 1-based outer edge of the PAM.  is_ambig tells of letters or padding other than ACGT.
     """
     context = len(motif) + motif.distance
-    found = scan(tiles(contigs, context, max(tile, context)), motif)
+    found = scan(tiles(contigs, context, max(tile, context), deal), motif)
     return found.withColumn("is_ambig", is_ambiguous("site"))
 
 

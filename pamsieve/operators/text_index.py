@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .sites import tiles
 
-
-#: A substring is found by walking its tile, so tiles are short here.
+#: Where a substring is spelled out by walking its tile, tiles are short.
 TILE = 512
+LONG_TILE = 1 << 15
+FEW_PATTERNS = 100_000
 
 
 def _tiled(texts: DataFrame, context: int) -> DataFrame:
@@ -30,20 +31,117 @@ def substrings(texts: DataFrame, k: int) -> DataFrame:
     return words.select("chrom", (F.col("at") + F.col("i")).cast("long").alias("pos"), F.substring("tile", F.col("lead") + F.col("i"), F.lit(k)).alias("word"))
 
 
-def locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, chrom, pos): all occurrences, overlapping ones too; patterns of one length share one equi-join."""
+class _Matcher:
+    """Patterns by length, found in a tile by hashes of its windows; what a hash finds is compared letter by letter."""
+
+    def __init__(self, patterns: list[str]):
+        self.groups = []  # (length, sorted hashes, patterns' numbers, their letters); no hash twice in a group
+        by_length: dict[int, list[int]] = {}
+        for i, p in enumerate(patterns):
+            by_length.setdefault(len(p), []).append(i)
+        for k, numbers in sorted(by_length.items()):
+            letters = np.stack([_letters(patterns[i]) for i in numbers])
+            hashes, numbers = np.array([_window_hashes(x, k)[0] for x in letters]), np.array(numbers)
+            left = np.argsort(hashes, kind="stable")
+            while len(left):
+                _, one = np.unique(hashes[left], return_index=True)
+                own = left[one]
+                self.groups.append((k, hashes[own], numbers[own], letters[own]))
+                left = np.delete(left, one)
+
+    def find(self, tile: str, begin: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, pattern) of occurrences that start at ``begin`` or one of the ``size`` - 1 letters behind it."""
+        data = _letters(tile)
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, hashes, numbers, letters in self.groups:
+            part = data[begin : begin + size + k - 1]
+            if len(part) < k:
+                continue
+            own = _window_hashes(part, k)
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            place = np.flatnonzero(hashes[at] == own)
+            which = at[place]
+            equal = np.ones(len(place), bool)
+            for j in range(k):
+                equal &= part[place + j] == letters[which, j]
+            places.append(place[equal] + begin)
+            found.append(numbers[which[equal]])
+        return np.concatenate(places), np.concatenate(found)
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _window_hashes(letters: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros(len(letters) - k + 1, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + letters[j : j + len(out)]
+    return out
+
+
+def _matched(texts: DataFrame, patterns: list[str], counted: bool) -> DataFrame:
+    """Occurrences (pattern, chrom, pos), or with ``counted`` each task's counts (pattern, n), of a few patterns in one scan."""
+    held = texts.sparkSession.sparkContext.broadcast((patterns, _Matcher(patterns)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matcher = held.value
+        names, counts = pa.array(names, pa.string()), np.zeros(len(names), np.int64)
+        for batch in batches:
+            for chrom, at, lead, size, tile in zip(*(batch.column(c).to_pylist() for c in ("chrom", "at", "lead", "size")), batch.column("tile"), strict=True):
+                place, which = matcher.find(tile.as_py(), lead, size)
+                if counted:
+                    counts += np.bincount(which, minlength=len(counts))
+                elif len(place):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), pa.array([chrom] * len(place), pa.string()), pa.array(place - lead + at + 1)], ["pattern", "chrom", "pos"])
+        if counted:
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(some)), pa.array(counts[some])], ["pattern", "n"])
+
+    context = max(1, max(map(len, patterns)) - 1)
+    tiled = tiles(texts, context, max(LONG_TILE, context)).select("chrom", "at", "lead", "size", "tile")
+    return tiled.mapInArrow(run, "pattern string, n long" if counted else "pattern string, chrom string, pos long")
+
+
+def _few(patterns: DataFrame) -> list[str] | None:
+    """The different patterns that have letters, if they are at most FEW_PATTERNS."""
+    rows = patterns.select("pattern").where("char_length(pattern) > 0").distinct().limit(FEW_PATTERNS + 1).collect()
+    return sorted(r[0] for r in rows) if len(rows) <= FEW_PATTERNS else None
+
+
+def _joined(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Occurrences of many patterns: an equi-join of all substrings for each length of patterns."""
     lengths = [r[0] for r in patterns.select(F.char_length("pattern")).distinct().collect() if r[0]]
     found = None
     for k in sorted(lengths):
         own = patterns.where(F.char_length("pattern") == k).select("pattern").distinct()
         part = substrings(texts, k).join(own, F.col("word") == F.col("pattern")).select("pattern", "chrom", "pos")
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else patterns.sparkSession.createDataFrame([], "pattern string, chrom string, pos long")
+    return found
+
+
+def locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, chrom, pos): all occurrences, overlapping ones too; a pattern without letters occurs nowhere.
+
+    Up to FEW_PATTERNS different patterns are broadcast and searched in one scan; beyond that they are joined.
+    """
+    few = _few(patterns)
+    if few is None:
+        return _joined(texts, patterns)
+    if not few:
+        return patterns.sparkSession.createDataFrame([], "pattern string, chrom string, pos long")
+    return _matched(texts, few, counted=False)
 
 
 def count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, n): numbers of occurrences, 0 included."""
-    found = locate(texts, patterns).groupBy("pattern").agg(F.count("*").alias("n"))
+    """(pattern, n): numbers of occurrences, 0 included; of few patterns only a count a task is shuffled."""
+    few = _few(patterns)
+    if few is None:
+        found = _joined(texts, patterns).groupBy("pattern").agg(F.count("*").alias("n"))
+    elif few:
+        found = _matched(texts, few, counted=True).groupBy("pattern").agg(F.sum("n").alias("n"))
+    else:
+        found = patterns.sparkSession.createDataFrame([], "pattern string, n long")
     return patterns.select("pattern").distinct().join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 from dataclasses import asdict
 from datetime import datetime, timezone
 
@@ -12,6 +15,20 @@ from pyspark.sql import functions as F
 from .motif import Motif
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset in local mode (tests), one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="pamsieve-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def save(df: DataFrame, path: str, motif: Motif | None = None, name: str = "", **details) -> None:
     """Write a table and, beside it, one row of JSON on how it was made; both by Spark, so any file system will do."""
     df.write.mode("overwrite").parquet(f"{path}/table")

@@ -6,9 +6,12 @@ themselves, the smallest of each of twelve classes of contigs, so that every sea
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import persistence
 from ..functions import dna
 from ..motif import CATALOG, COMPLEMENT_FROM, COMPLEMENT_TO, Motif, motif
 from ..operators import estimate as est
@@ -22,6 +25,7 @@ from ..sources import contigs as co
 from ..sources import tables as tb
 
 GUIDE_CLASSES = 12
+_built: dict[tuple, str] = {}
 CAS9, CAS12A = motif("Cas9", 2), motif("Cas12a", 1)
 LOOSE = motif("Cas9", 1, 2)
 PATTERNS = ("GATTACA", "AAAA", "ACGT", "TTTT", "CCGGA")
@@ -39,11 +43,26 @@ def _sites(spark: SparkSession, sf_dir: str, m: Motif = CAS9) -> DataFrame:
     return si.sites(_contigs(spark, sf_dir), m)
 
 
-def _guides(spark: SparkSession, sf_dir: str, m: Motif = CAS9) -> DataFrame:
-    """(guide): the smallest concrete site of each class of contigs, 5' to 3'."""
+def _indexed(spark: SparkSession, sf_dir: str, m: Motif = CAS9) -> DataFrame:
+    """The sites as a stored table: the index of searches, built by the session's first search of a genome."""
+    key = spark.sparkContext.applicationId, sf_dir, m.alias, m.distance, m.ambig_max
+    if key not in _built:
+        path = f"{persistence.shared_dir(spark)}/sites-{uuid.uuid4().hex}"
+        persistence.save(_sites(spark, sf_dir, m), path, m)
+        _built[key] = path
+    return persistence.load(spark, _built[key])[0]
+
+
+def _chosen(spark: SparkSession, sites: DataFrame, m: Motif) -> DataFrame:
+    """(guide): the smallest concrete site of each class of contigs, 5' to 3'; at most GUIDE_CLASSES of them."""
     site = F.substring("site", 1, m.length_no_pam)
-    least = _sites(spark, sf_dir, m).where("not is_ambig").groupBy((F.col("chrom").cast("long") % GUIDE_CLASSES).alias("class")).agg(F.min(site).alias("q"))
-    return least.select((F.reverse("q") if m.extends5 else F.col("q")).alias("guide")).distinct()
+    least = sites.where("not is_ambig").groupBy((F.col("chrom").cast("long") % GUIDE_CLASSES).alias("class")).agg(F.min(site).alias("q"))
+    rows = least.select((F.reverse("q") if m.extends5 else F.col("q")).alias("guide")).distinct().collect()
+    return spark.createDataFrame(rows, "guide string")
+
+
+def _guides(spark: SparkSession, sf_dir: str, m: Motif = CAS9) -> DataFrame:
+    return _chosen(spark, _indexed(spark, sf_dir, m), m)
 
 
 def _plain(hits: DataFrame) -> DataFrame:
@@ -51,7 +70,7 @@ def _plain(hits: DataFrame) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str, strategy: str = "auto", k: int = 2, m: Motif = CAS9, **more) -> DataFrame:
-    return _plain(se.search(_sites(spark, sf_dir, m), _guides(spark, sf_dir, m), m, k, strategy, alignments=False, **more))
+    return _plain(se.search(_indexed(spark, sf_dir, m), _guides(spark, sf_dir, m), m, k, strategy, alignments=False, **more))
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +159,18 @@ def exact_search(spark, sf_dir):
 
 
 def search_alignments(spark, sf_dir):
-    return se.search(_sites(spark, sf_dir), _guides(spark, sf_dir), CAS9, 2, "seed")
+    return se.search(_indexed(spark, sf_dir), _guides(spark, sf_dir), CAS9, 2, "seed")
+
+
+def alignment_letters(spark, sf_dir):
+    """What alignments must keep: the guide's letters, letters that begin the site, and as many differing columns as edits."""
+    sites = _indexed(spark, sf_dir)
+    hits = se.search(sites, _guides(spark, sf_dir), CAS9, 2, "seed", extra=("site",))
+    a, b = F.col("alignment_guide"), F.col("alignment_reference")
+    differ = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d))
+    bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    begins = F.startswith("site", F.reverse(bare(b))) if CAS9.extends5 else F.startswith("site", bare(b))
+    return hits.select("guide", "distance", "chromosome", "start", "strand", bare(a).alias("letters"), differ.cast("int").alias("differing"), begins.alias("begins_site"))
 
 
 def filter_overlapping_w23(spark, sf_dir):
@@ -170,12 +200,12 @@ def suppress_shifted(spark, sf_dir):
 
 def dict_estimate_d1(spark, sf_dir):
     m = CAS9.with_distance(1)
-    return est.estimate(est.site_counts(_sites(spark, sf_dir, m)), _guides(spark, sf_dir, m), m, 1)
+    return est.estimate(est.site_counts(_indexed(spark, sf_dir, m)), _guides(spark, sf_dir, m), m, 1)
 
 
 def hash_estimate_d1(spark, sf_dir):
     m = CAS9.with_distance(1)
-    return est.right_or_left(est.site_counts(_sites(spark, sf_dir, m)), _guides(spark, sf_dir, m), m, 2, 1)
+    return est.right_or_left(est.site_counts(_indexed(spark, sf_dir, m)), _guides(spark, sf_dir, m), m, 2, 1)
 
 
 def count_sketch(spark, sf_dir):
@@ -183,10 +213,9 @@ def count_sketch(spark, sf_dir):
 
 
 def anti_join_strategies(spark, sf_dir):
-    """Hits that only one of two strategies finds: none."""
-    a, b = _hits(spark, sf_dir, "nested_loop", 1), _hits(spark, sf_dir, "seed", 1)
+    """Hits of one strategy within two edits that another doesn't find within one: those of two edits."""
     keys = ["guide", "distance", "chromosome", "start", "strand"]
-    return a.join(b, keys, "left_anti").unionByName(b.join(a, keys, "left_anti"))
+    return _hits(spark, sf_dir, "nested_loop", 2).join(_hits(spark, sf_dir, "seed", 1), keys, "left_anti")
 
 
 def set_union_prefixes(spark, sf_dir):
@@ -222,7 +251,7 @@ def text_count(spark, sf_dir):
 
 
 def text_locate(spark, sf_dir):
-    patterns = spark.createDataFrame([(p,) for p in PATTERNS[:1]], "pattern string")
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
     return ti.locate(_contigs(spark, sf_dir), patterns)
 
 
@@ -263,7 +292,10 @@ def variant_sites(spark, sf_dir):
 
 def variant_search_d2(spark, sf_dir):
     found = va.variant_sites(_variants(spark, sf_dir), _contigs(spark, sf_dir), CAS9)
-    hits = se.search(found, _guides(spark, sf_dir), CAS9, 2, "seed", alignments=False, extra=("variants",))
+    path = f"{persistence.shared_dir(spark)}/variant-sites-{uuid.uuid4().hex}"
+    persistence.save(found, path, CAS9)
+    found = persistence.load(spark, path)[0]
+    hits = se.search(found, _chosen(spark, found, CAS9), CAS9, 2, "seed", alignments=False, extra=("variants",))
     return hits.select("guide", F.col("distance").cast("int").alias("distance"), "chromosome", "start", "strand", "variants")
 
 
@@ -425,7 +457,7 @@ SELECT chrom, CAST(greatest(1, a - 25) AS BIGINT) AS first, substr(seq, greatest
 FROM haps JOIN c USING (chrom)
 """
 _KMERS = "SELECT kmer, count(*) AS n FROM (SELECT substr(seq, i, 6) AS kmer FROM (SELECT seq, unnest(range(1, {stop}, {step})) AS i FROM c WHERE n >= 6)) GROUP BY kmer"
-_COUNTED = "occ AS (SELECT pattern, chrom, i AS pos FROM (SELECT chrom, seq, unnest(range(1, n + 1)) AS i FROM c), (SELECT unnest([{patterns}]) AS pattern) WHERE substr(seq, i, length(pattern)) = pattern)"
+_COUNTED = "occ AS (SELECT pattern, chrom, CAST(i AS BIGINT) AS pos FROM spot, (SELECT unnest([{patterns}]) AS pattern) WHERE substr(tile, i - base + 1, length(pattern)) = pattern)"
 _SPELL = " ".join(f"WHEN '{x}' THEN {list(b)}" for x, b in {"R": "AG", "Y": "CT", "A": "A", "C": "C", "G": "G", "T": "T"}.items())
 
 
@@ -452,6 +484,7 @@ ORACLE_SQL = {
     "search_cas12a_d1": _with(_sql_hits(CAS12A, 1), _PLAIN),
     "hamming_search": _with(_sql_hits(distance="hamming(q, substr(site, 1, 20))"), _PLAIN),
     "exact_search": _with(_sql_hits(k=1), _PLAIN + " WHERE distance = 0"),
+    "alignment_letters": _with(_sql_hits(), "SELECT *, guide AS letters, distance AS differing, true AS begins_site FROM hits"),
     "filter_overlapping_w23": _with(f"{_sql_hits()}, {_GREEDY.format(near='abs(y.s - x.s) <= 23')}", "SELECT * FROM clear"),
     "suppress_shifted": _with(f"{_sql_hits()}, {_GREEDY.format(near='abs(y.s - x.s) <= x.d - y.d')}", "SELECT * FROM clear"),
     "summarize": _with(_sql_hits(), f"SELECT guide, {_sql_counts(2)} FROM hits GROUP BY guide"),
@@ -477,9 +510,9 @@ ORACLE_SQL = {
         """, est AS (SELECT guide, distance, n FROM pairs JOIN (SELECT site, least(count(*), 2) AS n FROM sites WHERE NOT is_ambig GROUP BY site) USING (site) WHERE distance <= 1)
         SELECT guide, CAST(coalesce(sum(n) FILTER (distance = 0), 0) AS BIGINT) AS D0, CAST(coalesce(sum(n) FILTER (distance = 1), 0) AS BIGINT) AS D1 FROM est GROUP BY guide""",
     ),
-    "anti_join_strategies": _with(_sql_hits(k=1), _PLAIN + " WHERE false"),
+    "anti_join_strategies": _with(_sql_hits(), _PLAIN + " WHERE distance = 2"),
     "set_union_prefixes": _with(_sql_sites(CAS9), "SELECT DISTINCT substr(site, 1, 7) AS prefix FROM sites"),
-    "kmers": _with(_sql_contigs(), _KMERS.format(stop="least(n, 500) - 4", step=1)),
+    "kmers": _with(_sql_contigs(), _KMERS.format(stop="n - 4", step=1)),
     "skipkmers": _with(_sql_contigs(), _KMERS.format(stop="n - 4", step=6)),
     "pack_2bit": _with(
         _sql_sites(CAS9),
@@ -493,10 +526,10 @@ ORACLE_SQL = {
     ),
     "revcomp": _with(_sql_contigs(), f"SELECT chrom, md5(reverse(translate(seq, '{COMPLEMENT_FROM}', '{COMPLEMENT_TO}'))) AS digest FROM c"),
     "text_count": _with(
-        f"{_sql_contigs()}, {_COUNTED.format(patterns=', '.join(repr(p) for p in PATTERNS))}",
+        f"{_sql_tiles('spot')}, {_COUNTED.format(patterns=', '.join(repr(p) for p in PATTERNS))}",
         f"SELECT pattern, count(chrom) AS n FROM (SELECT unnest([{', '.join(repr(p) for p in PATTERNS)}]) AS pattern) LEFT JOIN occ USING (pattern) GROUP BY pattern",
     ),
-    "text_locate": _with(f"{_sql_contigs()}, {_COUNTED.format(patterns=repr(PATTERNS[0]))}", "SELECT * FROM occ"),
+    "text_locate": _with(f"{_sql_tiles('spot')}, {_COUNTED.format(patterns=', '.join(repr(p) for p in PATTERNS))}", "SELECT * FROM occ"),
     "rank_freq": _with(
         _sql_contigs(),
         """SELECT chrom, CAST(length(regexp_replace(left(seq, 100), '[^A]', '', 'g')) AS BIGINT) AS rank_100,
@@ -526,7 +559,11 @@ ORACLE_SQL = {
         b AS (SELECT part, size, abs(sum(m) OVER (PARTITION BY part ORDER BY size) - sum(m) OVER (PARTITION BY part ORDER BY size DESC)) AS uneven FROM k)
         SELECT part, CAST(arg_min(size, (uneven, size)) AS BIGINT) AS balance FROM b GROUP BY part""",
     ),
-    "pam_within_reach": _with(_sql_pams(CAS12A), "SELECT a.chrom, a.pos, b.pos AS near FROM pams a JOIN pams b ON a.chrom = b.chrom AND a.strand = '+' AND b.strand = '-' AND b.pos BETWEEN a.pos - 10 AND a.pos + 10"),
+    "pam_within_reach": _with(_sql_pams(CAS12A), 
+        """, a AS (SELECT chrom, pos, unnest(list_distinct([(pos - 10) // 21, (pos + 10) // 21])) AS bin FROM pams WHERE strand = '+'),
+        b AS (SELECT chrom, pos AS near, pos // 21 AS bin FROM pams WHERE strand = '-')
+        SELECT chrom, pos, near FROM a JOIN b USING (chrom, bin) WHERE near BETWEEN pos - 10 AND pos + 10""",
+    ),
     "pam_before": _with(
         _sql_pams(CAS12A),
         ", p AS (SELECT chrom, pos FROM pams WHERE strand = '+'), m AS (SELECT chrom, pos FROM pams WHERE strand = '-') SELECT p.chrom, p.pos, coalesce(m.pos, -1) AS near FROM p ASOF LEFT JOIN m ON p.chrom = m.chrom AND p.pos >= m.pos",
@@ -543,7 +580,7 @@ QUERIES = {
     for f in (
         contig_lengths, telomere_bounds, pam_positions_cas9, pam_positions_cas12a, sites_cas9_d2, sites_cas12a_d1, sites_ambig, sites_prefix_suffix, site_counts,
         site_counts_capped, search_nested_loop_d2, search_seed_d2, search_qgram_d2, search_neighbourhood_d1, search_cas12a_d1, hamming_search, exact_search,
-        search_alignments, filter_overlapping_w23, suppress_shifted, summarize, search_pipeline, early_stop, cap_per_distance, dict_estimate_d1, hash_estimate_d1,
+        search_alignments, alignment_letters, filter_overlapping_w23, suppress_shifted, summarize, search_pipeline, early_stop, cap_per_distance, dict_estimate_d1, hash_estimate_d1,
         count_sketch, anti_join_strategies, set_union_prefixes, kmers, skipkmers, pack_2bit, expand_ambiguous, revcomp, text_count, text_locate, rank_freq, select_jth,
         symbol_counts, suffix_arrays, variant_alleles, variant_groups, variant_haplotypes, variant_sites, variant_search_d2, run_ranges, duplicate_sites,
         balance_lengths, pam_within_reach, pam_before, variant_overlaps, motif_list,

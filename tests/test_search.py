@@ -9,6 +9,7 @@ from pamsieve.operators import estimate as est
 from pamsieve.operators import post
 from pamsieve.operators import search as se
 from pamsieve.operators import sites as si
+from pamsieve.operators import text_index as ti
 from pamsieve.sources.contigs import derived_contigs
 
 from .test_functions import compatible, plain_distance
@@ -221,3 +222,34 @@ def test_derived_genome(spark):
     assert [(r.chrom, r.seq, r.n) for r in derived_contigs(df).collect()] == [("1", "ACGTA", 5)]
     assert derived_contigs(df, digits="N").count() == 2 and set(derived_contigs(df, digits="N").first().seq) <= set(MASKS)
     assert derived_contigs(df).select(F.col("n") == F.char_length("seq")).first()[0]
+
+
+def occurrences(texts, patterns):
+    return sorted((p, c, i + 1) for c, t in texts for p in set(patterns) if p for i in range(len(t)) if t.startswith(p, i))
+
+
+def test_substrings_are_located_in_one_scan(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [(f"c{i}", "".join(rng.choices("ACGT", k=rng.choice([1, 5, 300, 70_000])))) for i in range(12)]
+    texts += [("odd", "é日\U0001f600é日\U0001f600A" * 30), ("runs", "A" * 40_000 + "C" + "A" * 40_000), ("empty", "")]
+    patterns = ["A", "AAAA", "ACGT", "GATTACA", "\U0001f600é", "日", texts[3][1][:200], "A" * 300, "C" + "A" * 999, "absent", "", None, "ACGT"]
+    df = frame(spark, dict(texts))
+    wanted = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = occurrences(texts, [p for p in patterns if p])
+    assert sorted(map(tuple, ti.locate(df, wanted).collect())) == want
+    assert {r.pattern: r.n for r in ti.count(df, wanted).collect()} == {p: sum(w[0] == p for w in want) for p in patterns}
+    few = [p for p in patterns if p and len(p) < 8]
+    wanted, df = spark.createDataFrame([(p,) for p in few], "pattern string"), frame(spark, {c: t for c, t in texts if len(t) < 1000})
+    once = sorted(map(tuple, ti.locate(df, wanted).collect()))
+    counts = sorted(map(tuple, ti.count(df, wanted).collect()))
+    monkeypatch.setattr(ti, "FEW_PATTERNS", 2)  # now by joins
+    assert sorted(map(tuple, ti.locate(df, wanted).collect())) == once and sorted(map(tuple, ti.count(df, wanted).collect())) == counts
+    assert ti.locate(df, wanted.limit(0)).collect() == [] == ti.count(df, wanted.limit(0)).collect()
+
+
+def test_dealt_tiles_give_the_same_sites(spark):
+    rng = random.Random(13)
+    df = frame(spark, {"long": "".join(rng.choices("ACGTN", weights=[9, 9, 9, 9, 1], k=5000))}).coalesce(1)
+    here, dealt = si.sites(df, SHORT, tile=300), si.sites(df, SHORT, tile=300, deal=8)
+    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, dealt.collect()))
+    assert dealt.select(F.spark_partition_id()).distinct().count() > 1

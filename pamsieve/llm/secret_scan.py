@@ -2,11 +2,14 @@
 
 Candidates are maximal runs of 16 or more letters, digits and ``_+/=-``, and words of any length that a hint assigns
 (``password = x``, ``"token": "x"``, ``Bearer x``).  Each is described by its length, character transitions, digits,
-variety, dictionary coverage, vowels, known forms, the path (the document's source) and neighbouring words.  A random forest, trained from labelled findings, scores it; its trees are compiled to CASE expressions, so
-scanning is one pass over the texts without a shuffle, and texts without a run or a hint are told by one test.
+variety, dictionary coverage, vowels, known forms, the path (the document's source) and the words before and after it.
+Character transitions are a Markov chain's: the mean log-ratio of each step from one character to the next among secrets
+and among harmless values.  That table and a random forest are trained from labelled findings; the forest's trees are
+compiled to CASE expressions, so scanning is one pass over the texts without a shuffle, and texts without a run or a hint
+are told by one test.
 A secret of several words (a passphrase with blanks) is found by its first word only.
 
-Labelled findings are rows (value, before, path, label); at most ``max_labelled`` of them are used, those of the
+Labelled findings are rows (value, before, path, label, and if known after); at most ``max_labelled`` of them are used, those of the
 smallest hash.  The corpus has none, so by default a generator makes them: keys, tokens and passwords of common kinds
 against card numbers, phone numbers, identifiers, commit hashes, dates, paths, long words and words with digits.
 """
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import forest
+from ._filter import packed, unpacked
 
 _RUN = r"[A-Za-z0-9_+/=\-]{16,}"
 _WORD = r"[\x20\x09-\x0D]+"
@@ -29,8 +33,19 @@ _ASSIGNED = rf"(?i)(?:{_HINT[1:-1]})[\w\-]*[\"'`\])]*(?:\s*[=:]+>?|(?<=bearer))\
 _KNOWN = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-.{10,})$"
 _HARMLESS = r"(sha|commit|hash|checksum|digest|uuid|guid|order|card|phone|isbn|version|revision|build|ticket|invoice|etag|date|call|pay)"
 _TEST_PATH = r"(test|example|sample|fixture|mock|doc|readme|demo)"
-_WORDS = ["access", "and", "article", "build", "data", "date", "document", "error", "file", "for", "image", "index", "ing", "item", "list", "name", "number", "order", "page", "report", "section", "test", "the", "tion", "user", "value", "version", "year"]
-FEATURES = ["length", "transitions", "digits", "variety", "coverage", "upper", "separators", "hex", "hint", "harmless", "assigned", "test_path", "symbols", "vowels", "known", "assigned_length"]
+#: The default dictionary: endings, words of technical texts, and common English words of four letters and more.
+_WORDS = (
+    "and for ing the tion access article build data date document error file image index item list name number order page report section test user value version year "
+    "about after again because been before being between both came could does down each even every first found from good great hand have head here high home house into just keep "
+    "know large last late leave left life line little live long look made make many might more most much must need never next night only open other over part people place point "
+    "right same said should show side small some still such take tell than that their them then there these they thing think this those thought through time turn under until very "
+    "want water well went were what when where which while white will with without work world would write young your back call case change child city come company country different "
+    "early example family follow form general give group grow help important increase interest level local member mean money month move nation offer order own plan play power present "
+    "problem process program public question real result room school second seem service social state student study system today"
+).split()
+FEATURES = ["length", "transitions", "digits", "variety", "coverage", "upper", "separators", "hex", "hint", "harmless", "assigned", "test_path", "symbols", "vowels", "known", "assigned_length", "markov", "after_harmless", "after_hint"]
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzA0-."  # upper case, digits, separators and all else are one symbol each
+_UPPER, _DIGITS, _SEPARATORS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "_+/=-"
 MASK = "[SECRET]"
 
 
@@ -40,8 +55,37 @@ def _share(value: Column, pattern: str) -> Column:
     return (n - F.char_length(F.regexp_replace(value, pattern, ""))) / n
 
 
-def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
-    """The forest's features of a candidate, of the two words before it, and of its document's path."""
+def transitions(values: list[str], labels: list[int]) -> np.ndarray:
+    """log P(next | symbol, secret) - log P(next | symbol, harmless) for each step, smoothed, to four places."""
+    k = len(SYMBOLS)
+    place = {c: i for i, c in enumerate(SYMBOLS)} | {c: k - 4 for c in _UPPER} | {c: k - 3 for c in _DIGITS} | {c: k - 2 for c in _SEPARATORS}
+    counts = np.full((2, k, k), 0.5)
+    for value, label in zip(values, labels, strict=True):
+        at = [place.get(c, k - 1) for c in value]
+        np.add.at(counts[int(label > 0)], (at[:-1], at[1:]), 1)
+    p = np.log(counts / counts.sum(axis=2, keepdims=True))
+    return np.round(p[1] - p[0], 4)
+
+
+def _markov(value: Column, table: np.ndarray) -> Column:
+    """The mean of the table's entries over a value's steps, 0 without any."""
+    told = F.translate(value, _UPPER + _DIGITS + _SEPARATORS, "A" * 26 + "0" * 10 + "-" * 5)
+    told = F.regexp_replace(told, r"[^a-zA0\-]", ".")
+    held = F.split(F.lit(",".join(map(repr, table.ravel().tolist()))), ",").cast("array<double>")
+    n, k = F.char_length(value), len(SYMBOLS)
+    # one walk: what a lambda closes over would be worked out anew at each step
+    begin = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, c: Column) -> Column:
+        symbol = F.instr(F.lit(SYMBOLS), c) - 1
+        entry = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.get(held, acc["last"] * k + symbol))
+        return F.struct(symbol.alias("last"), (acc["sum"] + entry).alias("sum"))
+
+    return F.aggregate(F.split(told, ""), begin, step, lambda acc: acc["sum"]) / F.greatest(n - 1, F.lit(1))
+
+
+def features(value: Column, before: Column, path: Column, after: Column, table: np.ndarray) -> dict[str, Column]:
+    """The forest's features of a candidate, of the two words before it and the one after, and of its document's path."""
     turn = r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
     n = F.char_length(value)
     near = F.lower(before)
@@ -63,19 +107,23 @@ def features(value: Column, before: Column, path: Column) -> dict[str, Column]:
         "vowels": _share(F.lower(value), "[aeiou]+"),
         "known": flag(value.rlike(_KNOWN)),
         "assigned_length": F.when(near.rlike(rf"{_HINT}[\w\-]*[\"'`\])]*(\s*[=:]+>?|(?<=bearer))[\s\"'`]*$"), n).otherwise(0).cast("double"),
+        "markov": _markov(value, table),
+        "after_harmless": flag(F.lower(after).rlike(_HARMLESS)),
+        "after_hint": flag(F.lower(after).rlike(_HINT)),
     }
 
 
 def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> DataFrame:
-    """Generated findings (value, before, path, label), the same for the same arguments."""
+    """Generated findings (value, before, path, label, after), the same for the same arguments."""
     rng = random.Random(seed)
+    behind = random.Random(seed + 1)
     alnum, hexes, digits = string.ascii_letters + string.digits, "0123456789abcdef", string.digits
 
     def text(letters: str, k: int) -> str:
         return "".join(rng.choices(letters, k=k))
 
     def word() -> str:
-        return rng.choice(_WORDS) if rng.random() < 0.5 else text("aeiounrstlhd", rng.randint(2, 9))
+        return rng.choice(_WORDS) if rng.random() < 0.7 else text("aeiounrstlhd", rng.randint(2, 9))
 
     hints = ["token =", "api_key =", "secret:", "password =", "Authorization: Bearer", "key:", "TOKEN =", "client_secret=", "private_key =", "auth_token:"]
     marks = ["commit", "sha256:", "order", "card", "call", "uuid =", "checksum =", "build", "version", "invoice no", "etag:", "digest ="]
@@ -89,8 +137,8 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Dat
         lambda: "0" * rng.randint(16, 30), lambda: "-".join(text(hexes, k) for k in (8, 4, 4, 4, 12)), lambda: "=" * 8 + text(digits, 1) + "=" * 12,
     ]
     passphrase = lambda: rng.choice("-_").join(text("aeiounrstlhdcmpbg", rng.randint(3, 8)) for _ in range(rng.randint(4, 6)))
-    free = [lambda: "AKIA" + text(string.ascii_uppercase, 16), lambda: text(string.ascii_letters, rng.randint(16, 40)), lambda: text(string.ascii_letters + "-_", rng.randint(20, 40)), lambda: passphrase, passphrase, passphrase, passphrase, passphrase]  # without a digit
-    short = [lambda: text("aeiounrstlhd", rng.randint(4, 8)) + text(digits, rng.randint(1, 4)) + text(alnum, rng.randint(0, 2)), lambda: text(alnum, rng.randint(5, 11)) + text(digits, rng.randint(1, 3)), lambda: text(alnum, rng.randint(4, 8)) + text("!@#$%&*?", rng.randint(1, 2)) + text(alnum, rng.randint(3, 7))]
+    free = [lambda: "AKIA" + text(string.ascii_uppercase, 16), lambda: text(string.ascii_letters, rng.randint(16, 40)), lambda: text(string.ascii_letters + "-_", rng.randint(20, 40)), passphrase, passphrase, passphrase, passphrase, passphrase]  # without a digit
+    short = [lambda: word() + text(digits, rng.randint(2, 4)), lambda: text("aeiounrstlhd", rng.randint(4, 8)) + text(digits, rng.randint(1, 4)) + text(alnum, rng.randint(0, 2)), lambda: text(alnum, rng.randint(5, 11)) + text(digits, rng.randint(1, 3)), lambda: text(alnum, rng.randint(4, 8)) + text("!@#$%&*?", rng.randint(1, 2)) + text(alnum, rng.randint(3, 7))]
     long_words = [lambda: text("aeiounrstlhdaeion", rng.randint(16, 26)), lambda: "-".join([word(), word(), word(), word(), "section"]), lambda: "/".join(["", word(), word(), word(), word(), "index"]), lambda: rng.choice("-=_+") * rng.randint(16, 60), lambda: "_".join([word(), word(), "document", word()])]
     plain = [word, word, lambda: word().capitalize(), lambda: rng.choice(["none", "null", "true", "false", "required", "missing", "invalid"]), lambda: text(digits, rng.randint(1, 3)), lambda: "/".join(["", word(), word()])]
     rows = []
@@ -124,24 +172,42 @@ def labelled_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Dat
             rows.append((rng.choice(["your", "example", "xxxx", "test"]) + rng.choice(["_", "-"]) + word() + "_0000" + "0" * 8, f"{word()} {rng.choice(hints)}", path, 0))
         else:  # anything in fixtures
             rows.append((rng.choice(harmless)(), f"{word()} {rng.choice(hints)}", rng.choice(["tests/data", "docs/example", "fixtures"]), 0))
-    return spark.createDataFrame(rows, "value string, before string, path string, label int")
+    def after(label: int) -> str:
+        """The next word: mostly any, behind harmless values more often one that names them."""
+        named = behind.random() < (0.02 if label else 0.15)
+        return behind.choice(["checksum", "commit", "build", "order", "digest", "version"]) if named else behind.choice(_WORDS)
+
+    return spark.createDataFrame([(*r, after(r[3])) for r in rows], "value string, before string, path string, label int, after string")
 
 
-def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 15, depth: int = 5) -> list:
-    """A forest for at most ``max_labelled`` labelled findings, chosen by hash."""
+class Model:
+    """The forest's trees and the table of transitions."""
+
+    def __init__(self, trees: list, table: np.ndarray):
+        self.trees, self.table = trees, table
+
+
+def train(labelled: DataFrame, max_labelled: int = 20_000, trees: int = 25, depth: int = 6) -> Model:
+    """Transitions and a forest from at most ``max_labelled`` labelled findings, chosen by hash."""
     given = labelled.where("value is not null and value != '' and label is not null")
-    sample = given.orderBy(F.xxhash64("value", "before", "path"), "value").limit(max_labelled)
-    told = features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("path", F.lit("")))
-    rows = sample.select(*(c.cast("double").alias(k) for k, c in told.items()), F.col("label").cast("double")).collect()
-    table = np.array(rows, float).reshape(-1, len(FEATURES) + 1)
-    if not len(table):
+    after = F.coalesce("after", F.lit("")) if "after" in labelled.columns else F.lit("")
+    given = given.select("value", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("path", F.lit("")).alias("path"), after.alias("after"), F.col("label").cast("double").alias("label"))
+    rows = given.orderBy(F.xxhash64("value", "before", "path"), "value").limit(max_labelled).collect()
+    if not rows:
         raise ValueError("no labelled findings to train from")
-    return forest.fit(table[:, :-1], table[:, -1], trees, depth)
+    table = transitions([r["value"] for r in rows], [r["label"] for r in rows])
+    sample = labelled.sparkSession.createDataFrame(rows, given.schema)
+    told = features(F.col("value"), F.col("before"), F.col("path"), F.col("after"), table)
+    found = np.array(sample.select(*(told[k].cast("double") for k in FEATURES), "label").collect(), float)
+    return Model(forest.fit(found[:, :-1], found[:, -1], trees, depth), table)
 
 
-def _candidates(text: Column, path: Column) -> Column:
-    """array<struct<value, before, after, word_no>> of a text."""
-    words = F.split(text, _WORD)
+def _candidates(words: Column, hinted: Column) -> Column:
+    """array<struct<value, before, after, word_no>> of a text's words; ``hinted``: whether the text has any hint.
+
+    ``words`` must be a column of the row and ``hinted`` stand outside of lambdas: what a lambda closes over is worked
+    out anew for each word.
+    """
     told = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
 
     def at(s: Column, k: int) -> Column:
@@ -163,8 +229,10 @@ def _candidates(text: Column, path: Column) -> Column:
         more = F.filter(F.array(s["v"]), lambda v: (v != "") & ~F.array_contains(runs, v))
         return F.concat(F.transform(runs, lambda v: one(v, F.split(s["w"], _RUN)[0])), F.transform(more, lambda v: one(v, F.split_part(s["w"], v, F.lit(1)))))
 
-    hinted = text.rlike(f"(?i){_HINT}")
-    told = F.transform(told, lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"), F.when(hinted, assigned(s)).otherwise("").alias("v")))
+    def with_value(value) -> Column:
+        return F.transform(told, lambda s: F.struct(s["w"].alias("w"), s["i"].alias("i"), value(s).alias("v")))
+
+    told = F.when(hinted, with_value(assigned)).otherwise(with_value(lambda s: F.lit("")))
     return F.flatten(F.transform(F.filter(told, lambda s: (s["v"] != "") | (F.char_length(s["w"]) >= 16)), each))
 
 
@@ -185,17 +253,20 @@ def scan_secrets(
     Defined cases: a null or empty text has no candidates and is passed on; a null path is empty; ids are passed on,
     null or repeated; an empty table gives an empty result; other columns are ignored.
     """
-    trees = train(labelled if labelled is not None else labelled_findings(docs.sparkSession), max_labelled)
+    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession), max_labelled)
     text, path = F.col(text_col).cast("string"), F.coalesce(F.col(path_col).cast("string"), F.lit(""))
-    kept = F.struct(F.lit(0).alias("_"), *(keep or []))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path"), kept.alias("kept"))
-    none = F.array().cast("array<struct<value:string,before:string,after:string,word_no:int>>")
-    rows = rows.withColumn("found", F.when(F.col("text").rlike(f"{_RUN}|(?i){_HINT}"), _candidates(F.col("text"), F.col("path"))).otherwise(none))
+    keep = keep or []
+    if clash := {"findings", "n_candidates", "n_secrets", "redacted", id_col} & set(keep):
+        raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path"), packed(keep).alias("kept"))
+    some = F.col("text").rlike(f"{_RUN}|(?i){_HINT}")
+    rows = rows.withColumn("words", F.when(some, F.split("text", _WORD)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("found", _candidates(F.col("words"), F.col("text").rlike(f"(?i){_HINT}")))
     described = F.transform(
-        "found", lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), *(v.alias(k) for k, v in features(c["value"], c["before"], F.col("path")).items()))
+        "found", lambda c: F.struct(c["word_no"].alias("word_no"), c["value"].alias("value"), *(v.alias(k) for k, v in features(c["value"], c["before"], F.col("path"), c["after"], model.table).items()))
     )
     rows = rows.select("id", "text", "kept", described.alias("found"))
-    score = forest.to_sql(trees, [f"c.{k}" for k in FEATURES])
+    score = forest.to_sql(model.trees, [f"c.{k}" for k in FEATURES])
     scored = F.expr(f"transform(found, c -> struct(c.word_no as word_no, c.value as value, {score} as score))")
     rows = rows.select("id", "text", "kept", scored.alias("found"))
     findings = F.transform("found", lambda c: F.struct(c["word_no"], c["value"], F.round(c["score"], 6).alias("score"), (c["score"] >= threshold).alias("is_secret")))
@@ -210,5 +281,5 @@ def scan_secrets(
         F.size("findings").cast("long").alias("n_candidates"),
         F.size(secrets).cast("long").alias("n_secrets"),
         F.when(F.size(secrets) > 0, redacted).otherwise(F.col("text")).alias("redacted"),
-        *(F.col(f"kept.{c}") for c in keep or []),
+        *unpacked("kept", keep),
     )

@@ -5,19 +5,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pamsieve.llm import forest
-from pamsieve.llm.secret_scan import FEATURES, features, labelled_findings, scan_secrets, train
+from pamsieve.llm import forest, secret_scan
+from pamsieve.llm.secret_scan import FEATURES, SYMBOLS, features, labelled_findings, scan_secrets, train
 
 RUN = re.compile(r"[A-Za-z0-9_+/=\-]{16,}")
 
 
 def test_held_out_accuracy(spark):
     found = labelled_findings(spark, 3000, seed=11)
-    trees = train(found)
+    model = train(found)
     held = labelled_findings(spark, 1500, seed=99)
-    told = features(F.col("value"), F.col("before"), F.col("path"))
+    told = features(F.col("value"), F.col("before"), F.col("path"), F.col("after"), model.table)
     rows = np.array(held.select(*(told[k].cast("double") for k in FEATURES), F.col("label").cast("double")).collect(), float)
-    guess = forest.predict(trees, rows[:, :-1]) >= 0.5
+    guess = forest.predict(model.trees, rows[:, :-1]) >= 0.5
     truth = rows[:, -1] == 1
     assert (guess == truth).mean() > 0.95
     assert guess[truth].mean() > 0.95 and (~guess[~truth]).mean() > 0.93
@@ -59,10 +59,54 @@ def test_candidates_against_brute_force(spark):
     texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(rng.randint(0, 12))) for _ in range(150)]
     df = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     for r in scan_secrets(df).collect():
-        want = [(k, v) for k, w in enumerate(re.split(r"[\x20\x09-\x0D]+", texts[r.doc_id])) for v in RUN.findall(w) if re.search("[0-9]", v)]
+        want = [(k, v) for k, w in enumerate(re.split(r"[\x20\x09-\x0D]+", texts[r.doc_id])) for v in RUN.findall(w)]
         assert [(f.word_no, f.value) for f in r.findings] == want
 
 
+def described(value, before, after, path, table):
+    """The features of a candidate, straight from their definitions."""
+    n, near, low = len(value), before.lower(), value.lower()
+
+    def share(pattern, v=value):
+        return sum(len(m[0]) for m in re.finditer(pattern, v)) / n
+
+    kind = lambda c: "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" if c in "_+/=-" else c if "a" <= c <= "z" else "."
+    at = [SYMBOLS.index(kind(c)) for c in value]
+    turns = sum(
+        (a in "0123456789" and b.isascii() and b.isalpha()) or (a.isascii() and a.isalpha() and b in "0123456789") or ("a" <= a <= "z" and "A" <= b <= "Z") or ("A" <= a <= "Z" and "a" <= b <= "z")
+        for a, b in zip(value, value[1:], strict=False)
+    )
+    told = {
+        "length": n, "transitions": turns / n, "digits": share("[0-9]+"), "variety": len(set(value)) / n**0.5, "coverage": share("|".join(secret_scan._WORDS), low), "upper": share("[A-Z]+"),
+        "separators": share(r"[_+/=\-]+"), "hex": bool(re.search("^[0-9a-f]+$", low)), "hint": bool(re.search(secret_scan._HINT, f"{near} {low}")), "harmless": bool(re.search(secret_scan._HARMLESS, near)),
+        "assigned": bool(re.search(r"[=:]\s*\S*$", before)), "test_path": bool(re.search(secret_scan._TEST_PATH, path.lower())), "symbols": share(r"[^A-Za-z0-9_+/=\-]+"), "vowels": share("[aeiou]+", low),
+        "known": bool(re.search(secret_scan._KNOWN, value)),
+        "assigned_length": n if re.search(rf"{secret_scan._HINT}[\w\-]*[\"'`\])]*(\s*[=:]+>?|(?<=bearer))[\s\"'`]*$", near) else 0,
+        "markov": sum(table[a, b] for a, b in zip(at, at[1:], strict=False)) / max(1, n - 1),
+        "after_harmless": bool(re.search(secret_scan._HARMLESS, after.lower())), "after_hint": bool(re.search(secret_scan._HINT, after.lower())),
+    }
+    return [float(told[k]) for k in FEATURES]
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(21)
+    model = train(labelled_findings(spark))
+    values = ["".join(rng.choices("abcdefXYZ0123456789_-/", k=rng.randint(16, 50))) for _ in range(150)] + ["AKIA" + "Q" * 16, "/usr/share/access/index/data", "0" * 20]
+    rows = []
+    for i, v in enumerate(values):
+        before, after = rng.choice(["the commit", "api_key =", "order no", "a", "x token:", ""]), rng.choice(["end", "checksum ok", "", "token"])
+        rows.append((i, f"{before} {v} {after}", rng.choice(["src1", "tests/data", None]), v, before, after))
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, v string, b string, a string")).collect()
+    for r in got:
+        _, text, path, value, before, after = rows[r.doc_id]
+        words = re.split(r"[\x20\x09-\x0D]+", text)
+        (finding,) = [f for f in r.findings if f.value == value]
+        k = finding.word_no
+        near = " ".join([*(words[k + d] if k + d >= 0 else "" for d in (-2, -1)), ""])
+        score = forest.predict(model.trees, np.array([described(value, near, words[k + 1] if k + 1 < len(words) else "", path or "", model.table)]))[0]
+        assert abs(finding.score - score) < 1e-6 and finding.is_secret == (finding.score >= 0.5)
+
+
 def test_recall_on_whole_texts(spark):
     rng = random.Random(12)
     upper, mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"

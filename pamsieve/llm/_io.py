@@ -64,6 +64,19 @@ def clean(spark: SparkSession, keep: list[str] = ()) -> None:
             _delete(spark, path)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand texts to Python at most BATCH_ROWS at a time: a task holds a batch several times over.
+
+    Spark bounds these batches by rows only, and by 10 000 of them unless told otherwise.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of ``df`` in bytes, without running anything."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

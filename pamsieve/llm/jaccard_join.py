@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import bloom, bloom_position, cut, discard, input_bytes, power_of_two
+from ._io import bloom, bloom_position, cut, discard, input_bytes, power_of_two, small_batches
 from ._text import Words, blocks, mix, signed, task
 from .components import components
 
@@ -295,6 +295,7 @@ def ngram_jaccard_join(
     get equal results; an empty table gives an empty result; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", row_key("id", "text"))
     size = input_bytes(docs)

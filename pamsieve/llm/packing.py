@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut
+from ._io import cut, small_batches
 from ._text import task
 from ._tokens import Ids
 
@@ -157,6 +157,7 @@ def pack(
     share an id, and equal rows, are packed each for itself; an empty table gives an empty result; extra columns are
     ignored.  Sequence ids depend on how the input is split, not on its values.
     """
+    small_batches(docs.sparkSession)
     payload = "ids binary" if ids else "ids_crc32 long"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = cut(rows.mapInArrow(_pack(path, capacity, open_windows, end_id, ids), _PIECE.format(payload=payload)), "pieces")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import cut
+from ._io import cut, small_batches
 from ._text import Words, blocks, task
 
 _BLANK = " \t\n\x0b\x0c\r"
@@ -72,6 +72,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """(id, host, measures) of each row; a null text has no words."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(task(_measure), "id long, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._filter import MAYBE, may_be_in, packed, unpacked
-from ._io import cut, input_bytes, power_of_two
+from ._io import cut, input_bytes, power_of_two, small_batches
 from ._text import Words, blocks, mix, signed, task
 
 SHINGLE = 7
@@ -238,6 +238,7 @@ def substring_dedup(
     stays whole and is nobody's source; rows with one id are judged each by its own text and do not remove each
     other's passages; equal rows get equal results; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     keep = keep or []
     if clash := {"n_words", "n_removed", "kept_text", id_col} & set(keep):
         raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")

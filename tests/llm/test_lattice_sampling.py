@@ -6,7 +6,8 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pamsieve.llm.lattice_sampling import SPACE, Lattice, Sampler, Vocabulary, decode, piece_ids, sample_encodings, vocabulary
+from pamsieve.llm import lattice_sampling
+from pamsieve.llm.lattice_sampling import SPACE, Decoder, Lattice, Sampler, Vocabulary, decode, piece_ids, sample_encodings, vocabulary
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = ["hello world", "", " ", "  two  spaces\n\ttab", "日本語 \U0001f9ff\x00", "é ﬁ▁x", "a" * 300, "x", None]
@@ -145,3 +146,71 @@ def test_very_long_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = sample_encodings(df, PATH, k=2).withColumn("again", decode(F.col("ids"), PATH)).collect()
     assert {(r.doc_id, r.sample): r.again for r in rows} == {(i, s): texts[i] for i in range(4) for s in range(2) if (i, s) != (2, 1)}
+
+
+def test_stretches_between_breaks_share_lattices():
+    # the same words before other marks and behind line ends, which are in no piece: nothing new to put in
+    lattice, keys = Lattice(vocabulary(PATH, 1.0)), np.arange(1).astype(np.uint64)
+    Sampler(lattice, ["some words here (are)\nthere\u2603 ."], keys)
+    held = lattice.nodes
+    Sampler(lattice, ["some\n words\u2603 here\u2603 some\nthere\n\n words ."], keys)
+    assert lattice.nodes == held
+
+
+def test_the_threshold_needs_no_further_way(monkeypatch):
+    walks, walk = [], Sampler._walk
+    monkeypatch.setattr(Sampler, "_walk", lambda self, *rest: walks.append(1) or walk(self, *rest))
+    texts, keys = ["some words here", "x", "", "日本\n"], np.arange(4).astype(np.uint64)
+    for k in (1, 2, 3):
+        more = Sampler(Lattice(vocabulary(PATH, 1.0)), texts, keys).sample(k + 1)
+        want = np.full(4, -np.inf)
+        want[more.doc[more.number == k]] = more.bound[more.number == k]
+        del walks[:]
+        found = Sampler(Lattice(vocabulary(PATH, 1.0)), texts, keys).sample(k)
+        assert found.beyond.tolist() == want.tolist() and len(walks) <= k
+
+
+def test_sets_far_behind_are_drawn_where_they_matter(monkeypatch):
+    texts = ["some words here, and there", "ab", "", "x" * 40, "日本\n the end of a longer text than the others"]
+    keys, calls, opened = np.arange(5).astype(np.uint64), [], lattice_sampling._OpenSets._open
+    monkeypatch.setattr(lattice_sampling._OpenSets, "_open", lambda self, *x: calls.append((x[4] - x[3]).sum()) or opened(self, *x))
+    for alpha in (1.0, 6.0):
+        monkeypatch.setattr(lattice_sampling, "NEAR", 1e9)
+        want = ways(vocabulary(PATH, alpha), texts, keys, 8)
+        for near in (45.0, 2.0, 0.0):
+            monkeypatch.setattr(lattice_sampling, "NEAR", near)
+            del calls[:]
+            assert ways(vocabulary(PATH, alpha), texts, keys, 8) == want
+        assert len(calls) > 8  # once a way, and those that had waited
+    monkeypatch.setattr(lattice_sampling, "NEAR", 45.0)
+    del calls[:]
+    found = Sampler(Lattice(vocabulary(PATH, 1.0)), ["some words here and there " * 100], keys[:1]).sample(2)
+    assert sum(calls) < found.size[0] / 2
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    vocab, texts, keys = vocabulary(PATH, 1.0), ["some words here", "words, and there", "日本 some"], np.arange(3).astype(np.uint64)
+    want = ways(vocab, texts, keys, 3)
+    hashes = lattice_sampling.word_hashes
+    monkeypatch.setattr(lattice_sampling, "word_hashes", lambda *a: hashes(*a) % 2)
+    assert ways(vocab, texts, keys, 3) == want
+    lattice = Lattice(vocab, limit=30)
+    for i in (0, 1, 2, 0, 1, 2):
+        sampler = Sampler(lattice, texts[i : i + 1], keys[i : i + 1])
+        found = sampler.sample(3)
+        assert [(found.total[r], found.bound[r]) for r in found.ordered()] == [(lp, g) for _, lp, g in want[i]]
+
+
+def test_columns_of_texts_are_those_of_rows():
+    vocab = vocabulary(PATH, 1.0)
+    decoder, rng = Decoder(vocab), np.random.default_rng(5)
+    ids = [rng.integers(0, len(vocab.pieces), n).astype("<u4") for n in (0, 1, 5, 0, 40_000, 1, 1)]
+    ids[-1][0] = vocab.byte_id[ord(" ")]
+    bad = [vocab.byte_id[[0xE6, 0x97]].astype("<u4"), vocab.byte_id[[0x20, 0x80, 0x41]].astype("<u4")]
+    good = [i[(vocab.byte_id[0x80] > i) | (vocab.byte_id[0xFF] < i)] for i in ids]
+    for rows in (good, ids + bad, []):
+        got = decoder.column(np.concatenate([*rows, np.zeros(0, "<u4")]), np.array([len(r) for r in rows], np.int64))
+        assert got.to_pylist() == [decoder(r.tobytes()) for r in rows]
+        for text, r in zip(got.to_pylist(), rows, strict=True):
+            plain = b"".join(bytes([vocab.byte_of[i]]) if i in vocab.byte_of else vocab.pieces[i].replace(SPACE, " ").encode() for i in r.tolist())
+            assert text == plain.decode("utf-8", "replace").removeprefix(" ")
